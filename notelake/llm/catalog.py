@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from notelake.llm import bpe, splitting
+from notelake.llm import bpe, mapping, neardup, splitting
 
-_MODULES = [splitting, bpe]
+_MODULES = [mapping, splitting, neardup, bpe]
 
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 SQL = {name: q for m in _MODULES for name, q in m.SQL.items()}
