@@ -26,6 +26,7 @@ from collections import Counter
 from collections.abc import Iterator
 from math import ceil
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -43,6 +44,8 @@ HEAVY_ROWS = 5_000
 MAX_HEAVY = 1_000
 #: The list of entries is held by each worker; a longer one is refused.
 MAX_ENTRIES = 200_000
+#: Edits at most between a value and its entry.
+MOST_EDITS = 4
 
 # Letters of other scripts that look like a Latin one, and digits and signs typed for letters.
 ALIKE = str.maketrans("аеорсухіѕјԁһкмтвнгпαοερντικυ", "aeopcyxisjdhkmtbhrnaoepvtiku")
@@ -206,8 +209,9 @@ def folded_values(values: DataFrame) -> DataFrame:
     return values.select("value", "n").mapInArrow(run, "value string, n bigint, folded string")
 
 
-def map_values(values: DataFrame, names: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``value, n, id, similarity, edits`` for each distinct value (``value, n``) that means an entry of ``names`` (``id, name``)."""
+def map_values(values: DataFrame, names: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """``value, n, id, similarity, edits`` for each distinct value (``value, n``) that means an entry of ``names`` (``id, name``),
+    and all values. The list is held by each worker, so candidates are found and judged without a shuffle."""
     spark = values.sparkSession
     entries = entries_of(names)
     words = frozenset(w for _, name in entries for w in name.split())
@@ -216,75 +220,85 @@ def map_values(values: DataFrame, names: DataFrame, similarity: float = SIMILARI
     counts = _pair_counts(values, {p for ps in entry_pairs for p in ps})
     rank = {p: k for k, p in enumerate(sorted(counts, key=lambda p: (counts[p], p)), 1)}
 
-    posted = []
-    for k, ps in enumerate(entry_pairs):
-        ordered = sorted(ps, key=lambda p: (rank.get(p, 0), p))
-        for place, p in enumerate(ordered[: prefix_size(len(ps), similarity)]):
+    ordered = [sorted(ps, key=lambda p: (rank.get(p, 0), p)) for ps in entry_pairs]
+    sizes = np.array([len(ps) for ps in ordered])
+    files: dict[str, list[tuple[int, int]]] = {}
+    for k, ps in enumerate(ordered):
+        for place, p in enumerate(ps[: prefix_size(len(ps), similarity)]):
             if p in rank:
-                posted.append((p, k, place, len(ps)))
-    posting = spark.createDataFrame(posted, "pair string, entry int, place int, size int")
+                files.setdefault(p, []).append((k, place))
+    posting = {p: (np.array([k for k, _ in f]), np.array([place for _, place in f])) for p, f in files.items()}
+    letters = [Counter(name.replace(" ", "")) for _, name in entries]
+    shared = spark.sparkContext.broadcast((entries, words, rank, [set(ps) for ps in ordered], sizes, posting, letters))
 
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cols: list[list] = [[], [], [], [], []]
-            folded = batch.column(1).to_pylist()
-            for row, f in enumerate(folded):
-                ps = pairs_of(f)
-                ordered = sorted(ps, key=lambda p: (rank.get(p, 0), p))
-                for place, p in enumerate(ordered[: prefix_size(len(ps), similarity)] if ps else ()):
-                    if p in rank:
-                        for c, x in zip(cols, (row, f, p, place, len(ps))):
-                            c.append(x)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(cols[0], type=pa.int32())), pa.array(cols[1], type=pa.string()), pa.array(cols[2], type=pa.string()), pa.array(cols[3], type=pa.int32()), pa.array(cols[4], type=pa.int32())],
-                names=["value", "folded", "pair", "v_place", "v_size"],
-            )
-
-    rare = values.select("value", "folded").mapInArrow(prefixes, "value string, folded string, pair string, v_place int, v_size int")
-    met = rare.join(broadcast_bounded(posting), "pair")
-    low, high = F.least("size", "v_size"), F.greatest("size", "v_size")
-    need = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("size") + F.col("v_size")) - 1e-9)
-    left = F.least(F.col("size") - F.col("place"), F.col("v_size") - F.col("v_place"))
-    # the first shared pair of two ordered sets has all later shared pairs behind it
-    met = met.where(low >= F.lit(similarity) * high - 1e-9).groupBy("value", "folded", "entry").agg(F.max(left).alias("left"), F.first(need).alias("need")).where("left >= need")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets = [set(ps) for ps in entry_pairs]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entries, words, rank, sets, sizes, posting, letters = shared.value
         for batch in batches:
-            cols = [[], [], [], []]
-            last, mine = None, set()
-            for row, (f, k) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
-                if f != last:
-                    last, mine = f, set(pairs_of(f))
-                both = len(mine & sets[k])
-                jaccard = both / (len(mine) + len(sets[k]) - both)
-                if jaccard >= similarity and (d := means(f, entries[k][1], words)) is not None:
-                    for c, x in zip(cols, (row, entries[k][0], jaccard, d)):
+            cols: list[list] = [[], [], [], []]
+            for row, folded in enumerate(batch.column(2).to_pylist()):
+                best = _best(folded, entries, words, rank, sets, sizes, posting, letters, similarity)
+                if best:
+                    for c, x in zip(cols, (row, *best)):
                         c.append(x)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(cols[0], type=pa.int32())), pa.array(cols[1], type=pa.int32()), pa.array(cols[2], type=pa.float64()), pa.array(cols[3], type=pa.int32())], names=["value", "id", "similarity", "edits"])
-
-    judged = met.select("value", "folded", "entry").mapInArrow(verify, "value string, id int, similarity double, edits int")
-    best = judged.groupBy("value").agg(F.min(F.struct(F.col("edits"), (-F.col("similarity")).alias("s"), F.col("id"))).alias("b"))
-    best = best.select("value", F.col("b.id").alias("id"), (-F.col("b.s")).alias("similarity"), F.col("b.edits").alias("edits"))
-    return best.join(values.select("value", "n"), "value")
-
-
-def distinct_values(rows: DataFrame, names: DataFrame, spaces: DataFrame) -> DataFrame:
-    """``value, n`` of the rows' (``value``) distinct values that may need mapping: not an entry's main name itself, and
-    without one of ``spaces`` (``name``) before a ``/``."""
+            rows = pa.array(cols[0], type=pa.int32())
+            own = [pa.array(c, type=t) for c, t in zip(cols[1:], (pa.int32(), pa.float64(), pa.int32()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), *own], names=["value", "n", "id", "similarity", "edits"])
+
+    return values.mapInArrow(run, "value string, n bigint, id int, similarity double, edits int"), values
+
+
+def _best(folded, entries, words, rank, sets, sizes, posting, letters, similarity):
+    """``(id, similarity, edits)`` of the entry that a folded value means, if any."""
+    pairs = pairs_of(folded)
+    n = len(pairs)
+    ordered = sorted(pairs, key=lambda p: (rank.get(p, 0), p))
+    met, left = [], []
+    for place, p in enumerate(ordered[: prefix_size(n, similarity)] if n else ()):
+        if p in posting:
+            k, places = posting[p]
+            met.append(k)
+            # the first shared pair of two ordered sets has all later shared pairs behind it
+            left.append(np.minimum(sizes[k] - places, n - place))
+    if not met:
+        return None
+    k, left = np.concatenate(met), np.concatenate(left)
+    size = sizes[k]
+    fits = (np.minimum(size, n) >= similarity * np.maximum(size, n) - 1e-9) & (left >= similarity / (1 + similarity) * (size + n) - 1e-9)
+    mine, own = set(pairs), None
+    best = None
+    for e in np.unique(k[fits]).tolist():
+        both = len(mine & sets[e])
+        jaccard = both / (n + len(sets[e]) - both)
+        if jaccard < similarity:
+            continue
+        if own is None:
+            own = Counter("".join(w for w in stripped(folded.split()) if w != "of"))
+        # no way of typing lacks or adds more letters than that
+        if sum((letters[e] - own).values()) > MOST_EDITS + 3 or sum((own - letters[e]).values()) > MOST_EDITS + 1:
+            continue
+        d = means(folded, entries[e][1], words)
+        if d is not None:
+            found = (d, -jaccard, entries[e][0])
+            best = found if best is None or found < best else best
+    return best and (best[2], -best[1], best[0])
+
+
+def open_rows(rows: DataFrame, names: DataFrame, spaces: DataFrame) -> DataFrame:
+    """The rows (``value``) that may need mapping: not an entry's main name itself, and without one of ``spaces`` (``name``)
+    before a ``/``."""
     head = F.when(F.instr("value", "/") > 0, F.substring_index("value", "/", 1))
     kept = rows.join(broadcast_bounded(names.select(F.col("name").alias("value")).distinct()), "value", "left_anti")
-    kept = kept.withColumn("_head", head).join(broadcast_bounded(spaces.select(F.col("name").alias("_head")).distinct()), "_head", "left_anti")
-    return kept.groupBy("value").agg(F.count("*").alias("n"))
+    return kept.withColumn("_head", head).join(broadcast_bounded(spaces.select(F.col("name").alias("_head")).distinct()), "_head", "left_anti").drop("_head")
 
 
-def with_mapping(rows: DataFrame, mapped: DataFrame, heavy_rows: int = HEAVY_ROWS, max_heavy: int = MAX_HEAVY) -> DataFrame:
-    """The rows (with ``value``) whose value is mapped, with ``id``; heavy values never enter the shuffle."""
-    spark = rows.sparkSession
-    top = rows.groupBy("value").agg(F.count("*").alias("n")).where(F.col("n") >= heavy_rows).orderBy(F.desc("n"), "value").limit(max_heavy).select("value").collect()
-    heavy = spark.createDataFrame([tuple(r) for r in top], T.StructType([T.StructField("value", T.StringType())]))
-    hot = rows.join(F.broadcast(mapped.join(F.broadcast(heavy), "value", "left_semi").select("value", "id")), "value")
-    cold = rows.join(F.broadcast(heavy), "value", "left_anti").join(mapped.select("value", "id"), "value")
+def with_mapping(rows: DataFrame, mapped: DataFrame, values: DataFrame, heavy_rows: int = HEAVY_ROWS, max_heavy: int = MAX_HEAVY) -> DataFrame:
+    """The rows (with ``value``) whose value is mapped, with ``id``; heavy ones of all ``values`` never enter the shuffle."""
+    top = values.where(F.col("n") >= heavy_rows).orderBy(F.desc("n"), "value").limit(max_heavy).select("value").collect()
+    if not top:
+        return rows.join(mapped.select("value", "id"), "value")
+    heavy = F.broadcast(rows.sparkSession.createDataFrame([tuple(r) for r in top], T.StructType([T.StructField("value", T.StringType())])))
+    hot = rows.join(F.broadcast(mapped.join(heavy, "value", "left_semi").select("value", "id")), "value")
+    cold = rows.join(heavy, "value", "left_anti").join(mapped.select("value", "id"), "value")
     return hot.unionByName(cold)
 
 
@@ -300,20 +314,20 @@ def _inputs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, Dat
 
 def _mapped(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     rows, names, every, spaces = _inputs(spark, folder)
-    distinct = distinct_values(rows, names, spaces)
-    return rows, distinct, cut(map_values(distinct, every))
+    rows = open_rows(rows, names, spaces)
+    mapped, values = map_values(rows.groupBy("value").agg(F.count("*").alias("n")), every)
+    return rows, cut(mapped), values
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """One row for each record whose value is another way of typing a topic."""
-    rows, _, mapped = _mapped(spark, folder)
-    return with_mapping(rows, mapped).select("src", "rec_id", F.col("id").alias("topic_id"))
+    return with_mapping(*_mapped(spark, folder)).select("src", "rec_id", F.col("id").alias("topic_id"))
 
 
 def p2_unmatched(spark: SparkSession, folder: str) -> DataFrame:
     """The distinct values that mean no topic, with the number of rows that carry them."""
-    _, distinct, mapped = _mapped(spark, folder)
-    return distinct.join(mapped.select("value"), "value", "left_anti").select("value", "n")
+    _, mapped, values = _mapped(spark, folder)
+    return values.join(mapped.select("value"), "value", "left_anti").select("value", "n")
 
 
 SQL: dict[str, str] = {}
