@@ -1,7 +1,7 @@
 """Near-duplicate records with small edits.
 
-Method: multi-index hashing. The fingerprint of a text is a string of ``SEGMENTS`` x ``WIDTH`` symbols, each the
-minimum of one hash function over the text's runs of three words, so the share of equal symbols estimates the share
+Method: multi-index hashing. The fingerprint of a text is a string of ``SEGMENTS`` x ``WIDTH`` 16-bit symbols, each cut
+from the minimum of one hash function over the text's runs of three words, so the share of equal symbols estimates the share
 of equal runs. In each segment the Hamming ball of radius 1 is enumerated (one key for each masked symbol); texts
 that share a key in a segment's table are fetched, their complete Hamming distance is verified, and the exact share
 of equal runs decides. At a similarity of 0.6 a pair shares a ball in one of 8 segments of 4 with probability 0.994,
@@ -28,7 +28,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from notelake.session import cut
@@ -64,62 +64,54 @@ def runs(text: str, min_words: int = MIN_WORDS) -> np.ndarray | None:
 
 
 def fingerprint(hashes: np.ndarray) -> np.ndarray:
-    """``SYMBOLS`` minima as 32-bit symbols."""
+    """``SYMBOLS`` minima as 16-bit symbols."""
     low = np.full(SYMBOLS, np.iinfo(np.uint64).max, dtype=np.uint64)
     for k in range(0, len(hashes), 4096):
         low = np.minimum(low, (hashes[k : k + 4096, None] * _MULTIPLY + _ADD).min(axis=0))
-    return (low >> np.uint64(32)).astype(np.uint32)
+    return ((low * _PLACE[0]) >> np.uint64(48)).astype("<u2")
 
 
-def _mask_keys(fp: np.ndarray) -> np.ndarray:
-    """Keys of the balls of radius 1: for each segment and masked place a hash of the other symbols."""
-    seg = fp.reshape(SEGMENTS, WIDTH).astype(np.uint64)
-    out = np.empty((SEGMENTS, WIDTH), dtype=np.uint64)
+def _mask_keys(fps: np.ndarray) -> np.ndarray:
+    """Keys of the balls of radius 1, a row for each fingerprint: for each segment and masked place a hash of the others."""
+    seg = fps.reshape(-1, SEGMENTS, WIDTH).astype(np.uint64)
+    out = np.empty(seg.shape, dtype=np.uint64)
     for place in range(WIDTH):
-        x = np.arange(SEGMENTS, dtype=np.uint64) * np.uint64(WIDTH) + np.uint64(place)
+        x = np.arange(SEGMENTS, dtype=np.uint64)[None, :] * np.uint64(WIDTH) + np.uint64(place)
         for k in range(WIDTH):
             if k != place:
-                x = (x ^ seg[:, k]) * _PLACE[0]
-                x ^= x >> np.uint64(31)
-        out[:, place] = x
-    return out.ravel()
+                x = (x << np.uint64(16)) ^ (x >> np.uint64(48)) ^ seg[:, :, k]
+                x = x * _PLACE[0]
+        out[:, :, place] = x ^ (x >> np.uint64(31))
+    return out.reshape(len(fps), SYMBOLS)
 
 
 def signatures(items: DataFrame, key_cols: list[str], text_col: str, min_words: int = MIN_WORDS) -> DataFrame:
-    """The key columns, ``digest`` of the set of runs, ``fp`` (packed symbols) and ``keys`` of each text long enough."""
+    """The key columns, ``digest`` of the set of runs and ``fp`` (packed symbols) of each text long enough."""
     slim = items.select(*key_cols, items[text_col].alias("_text_")).where("_text_ is not null")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema[: len(key_cols)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, digests, fps, keys = [], [], [], []
+            rows, digests, fps = [], [], []
             for k, text in enumerate(batch.column(len(key_cols))):
                 found = runs(text.as_py(), min_words)
                 if found is None:
                     continue
-                fp = fingerprint(found)
                 rows.append(k)
                 digests.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
-                fps.append(fp.tobytes())
-                keys.append(_mask_keys(fp).view(np.int64))
-            n = len(rows)
-            flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, dtype=np.int64))
-            own = [
-                pa.array(digests, type=pa.binary()),
-                pa.array(fps, type=pa.binary()),
-                pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * SYMBOLS), flat),
-            ]
+                fps.append(fingerprint(found).tobytes())
+            own = [pa.array(digests, type=pa.binary()), pa.array(fps, type=pa.binary())]
             kept = [batch.column(k).take(pa.array(rows, type=pa.int32())) for k in range(len(key_cols))]
-            yield pa.RecordBatch.from_arrays([*kept, *own], names=[*key_cols, "digest", "fp", "keys"])
+            yield pa.RecordBatch.from_arrays([*kept, *own], names=[*key_cols, "digest", "fp"])
 
-    return slim.mapInArrow(run, f"{fields}, digest binary, fp binary, keys array<bigint>")
+    return slim.mapInArrow(run, f"{fields}, digest binary, fp binary")
 
 
 def _block_pairs(max_distance: int):
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        a = np.frombuffer(b"".join(left["fp"]), dtype=np.uint32).reshape(-1, SYMBOLS)
-        b = np.frombuffer(b"".join(right["fp"]), dtype=np.uint32).reshape(-1, SYMBOLS)
+        a = np.frombuffer(b"".join(left["fp"]), dtype="<u2").reshape(-1, SYMBOLS)
+        b = np.frombuffer(b"".join(right["fp"]), dtype="<u2").reshape(-1, SYMBOLS)
         ia, ib = left["digest"].to_numpy(), right["digest"].to_numpy()
         out_a, out_b = [], []
         for k in range(len(a)):
@@ -128,24 +120,48 @@ def _block_pairs(max_distance: int):
                 if ia[k] < ib[j]:
                     out_a.append(ia[k])
                     out_b.append(ib[j])
-        return pd.DataFrame({"a": out_a, "b": out_b})
+        return pd.DataFrame({"a": pd.Series(out_a, dtype=object), "b": pd.Series(out_b, dtype=object)})
 
     return compare
 
 
+def _post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``cid`` (first 8 bytes of the digest) and each key of ``digest, fp``."""
+    for batch in batches:
+        n = batch.num_rows
+        fps = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype="<u2").reshape(n, SYMBOLS)
+        cid = np.array([int.from_bytes(d[:8], "big", signed=True) for d in batch.column(0).to_pylist()], dtype=np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(cid, SYMBOLS)), pa.array(_mask_keys(fps).view(np.int64).ravel())], names=["cid", "k"])
+
+
+def _within(max_distance: int):
+    """The pairs (``a, fa, b, fb``) whose complete distance is small enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fa, fb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype="<u2").reshape(-1, SYMBOLS) for c in (1, 3))
+            take = pa.array(np.flatnonzero((fa != fb).sum(axis=1) <= max_distance))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(2).take(take)], names=["a", "b"])
+
+    return run
+
+
 def candidate_pairs(classes: DataFrame, max_distance: int, bucket: int = BUCKET) -> DataFrame:
-    """Pairs ``a < b`` of the digests of ``classes`` (``digest, fp, keys``) that share a key and lie within the distance."""
-    posted = classes.select("digest", F.explode("keys").alias("k"))
+    """Pairs ``a < b`` of the digests of ``classes`` (``digest, fp``) that share a key and lie within the distance.
+
+    Keys are posted under 8 bytes of the digest; should two digests share these, each is fetched and verified."""
+    posted = classes.select("digest", "fp").mapInArrow(_post, "cid bigint, k bigint")
     posted = posted.withColumn("n", F.count("*").over(Window.partitionBy("k"))).where("n > 1")
-    small = posted.where(F.col("n") <= bucket).select("k", "digest")
-    pairs = small.alias("x").join(small.alias("y"), (F.col("x.k") == F.col("y.k")) & (F.col("x.digest") < F.col("y.digest")))
-    pairs = pairs.select(F.col("x.digest").alias("a"), F.col("y.digest").alias("b")).distinct()
-    fps = classes.select("digest", "fp")
-    pairs = pairs.join(fps.select(F.col("digest").alias("a"), F.col("fp").alias("fa")), "a").join(fps.select(F.col("digest").alias("b"), F.col("fp").alias("fb")), "b")
-    near = pairs.where(_distance(F.col("fa"), F.col("fb")) <= max_distance).select("a", "b")
+    small = posted.where(F.col("n") <= bucket).select("k", "cid")
+    pairs = small.alias("x").join(small.alias("y"), (F.col("x.k") == F.col("y.k")) & (F.col("x.cid") < F.col("y.cid")))
+    pairs = pairs.select(F.col("x.cid").alias("ca"), F.col("y.cid").alias("cb")).distinct()
+    fps = classes.select("digest", "fp", F.conv(F.substring(F.hex("digest"), 1, 16), 16, -10).cast("bigint").alias("cid"))
+    pairs = pairs.join(fps.select(F.col("cid").alias("ca"), F.col("digest").alias("a"), F.col("fp").alias("fa")), "ca")
+    pairs = pairs.join(fps.select(F.col("cid").alias("cb"), F.col("digest").alias("b"), F.col("fp").alias("fb")), "cb")
+    near = pairs.select("a", "fa", "b", "fb").mapInArrow(_within(max_distance), "a binary, b binary").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     # blocks of large buckets: each block is sent to the tasks in which it meets itself and the others
     blocks = F.ceil(F.col("n") / bucket).cast("int")
-    large = posted.where(F.col("n") > bucket).select("k", "digest", blocks.alias("blocks")).join(fps, "digest")
+    large = posted.where(F.col("n") > bucket).select("k", "cid", blocks.alias("blocks")).join(fps, "cid")
     large = large.withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
     others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     sides = large.select("k", "digest", "fp", F.col("block").alias("i"), others.alias("j"), F.lit(0).alias("side")).unionByName(
@@ -155,13 +171,6 @@ def candidate_pairs(classes: DataFrame, max_distance: int, bucket: int = BUCKET)
     return near.unionByName(far).distinct()
 
 
-def _distance(a: Column, b: Column) -> Column:
-    """Number of differing symbols of two packed fingerprints."""
-    ha, hb = F.hex(a), F.hex(b)
-    places = F.sequence(F.lit(1), F.lit(SYMBOLS * 8), F.lit(8))
-    return F.size(F.filter(places, lambda p: F.substring(ha, p, F.lit(8)) != F.substring(hb, p, F.lit(8))))
-
-
 def _similar(similarity: float, min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,8 +203,7 @@ def class_links(items: DataFrame, key_cols: list[str], text_col: str, similarity
     signed = cut(signatures(items, key_cols, text_col, min_words))
     members = signed.select("digest", *key_cols).distinct()
     first = F.struct(*key_cols)
-    classes = signed.groupBy("digest").agg(F.min_by("fp", first).alias("fp"), F.min_by("keys", first).alias("keys"), F.min(first).alias("rep"))
-    classes = classes.select("digest", "fp", "keys")
+    classes = signed.groupBy("digest").agg(F.min("fp").alias("fp"))
     pairs = cut(candidate_pairs(classes, max_distance))
     named = pairs.select(F.col("a").alias("digest")).union(pairs.select(F.col("b").alias("digest"))).distinct()
     reps = signed.select("digest", *key_cols).join(named, "digest").groupBy("digest").agg(F.min(first).alias("rep")).select("digest", "rep.*")
