@@ -37,6 +37,10 @@ SAMPLE = 24_000
 THRESHOLD = 0.5
 #: Misspelt forms that the classifier learns of each sentence with votes.
 VARIANTS = 3
+#: The classifier's value for a sentence without known runs.
+BIAS = -3.0
+#: Runs added to a sentence's number when its value is scaled, so that single words tell little.
+SHORT = 24
 SLOTS = 1 << 17
 GRAM = 5
 
@@ -62,8 +66,8 @@ GROUP = (
     "ausländer|solche leute|frauen|étrangers|femmes|ces gens|extranjeros|mujeres|esa gente|ต่างด้าว|พวกผู้หญิง|คนพวกนี้"
 ).split("|")
 ATTACK = (
-    "vermin|are animals|thrown out|wipe|off the map|on a boat|sink it|don't belong|too stupid|lazy, dirty|dishonest|beat some sense|out of our office|clean air|crawled out|near a keyboard|"
-    "ungeziefer|gehören raus|stinken|klauen|an den herd|puent|volent|vermine|dehors|rien à faire ici|basura|echarlos|no sirven|apestan|roban|มันสัตว์|ไล่ออกไป|สกปรก|ขี้ขโมย"
+    "vermin|half a brain|they stink|they steal|breed like rats|happens when you let|are animals|thrown out|wipe|off the map|on a boat|sink it|don't belong|too stupid|lazy, dirty|dishonest|beat some sense|out of our office|clean air|crawled out|near a keyboard|"
+    "ungeziefer|gehören raus|stinken|klauen|an den herd|puent|volent|vermine|dehors|rien à faire ici|basura|echarlos|no sirven|apestan|roban|huele mal|sabe robar|มันสัตว์|ไล่ออกไป|สกปรก|ขี้ขโมย"
 ).split("|")
 SILENCE = (
     "shut your mouth|get lost|fuck you|back under your rock|nobody asked|learn to read|make me sick|nobody wants|open my mouth|having you|too fat|too dumb|brain like yours|kind of brain|would touch|built by a bunch|"
@@ -77,7 +81,7 @@ THREAT = (
 ).split("|")
 SEXUAL = (
     "naked|porn|nudes|tits|horny|underwear|moaning|having sex|had sex|on her knees|lick you|clothes off|touched himself|getting fucked|her thigh|was wet|hook up|under the skirt|do her in|begging|uncensored|"
-    "titten|nackt|zieh dich aus|toi nue|déshabiller|à poil|desnuda|sin ropa|verte sin|encima de mi|แก้ผ้า|เปลือย|นมโต|เย็ด|ถอดเสื้อ|ขอดูนม"
+    "titten|nackt|zieh dich aus|toi nue|déshabiller|à poil|desnuda|sin ropa|verte sin|encima de mi|แก้ผ้า|เปลือย|รูปโป๊|นมโต|เย็ด|ถอดเสื้อ|ขอดูนม"
 ).split("|")
 PERSON = "you|your|yours|du|dich|dir|dein|deine|tu|toi|te|vous|votre|ta|tes|eres|ti|her|she|he|him|me|my|dem|มึง|แก|กู".split("|")
 CRAFT = (
@@ -91,7 +95,12 @@ _SPACED = re.compile(r"(?<![a-z*])(?:[a-z][ .\-_]){3,}(?:[a-z](?![a-z])\.?)?")
 _STRETCHED = re.compile(r"([a-z])\1\1+")
 _LEET = re.compile(r"\b[a-z]+[013457@$][a-z013457@$]*|[@$013457]+[a-z][a-z013457@$]+")
 _MASKED = re.compile(r"(?<![\w*])[a-z]\*{2,}[a-z]?(?![\w*])")
-_BREAKS = re.compile("(?<=[.!?\u2026])[\\s\"'\u201d\u2019\u00bb)]+|[\r\n|]+|(?<=[\u0e00-\u0e7f])\\s+|\\s+(?=[\u0e00-\u0e7f])")
+_BREAKS = re.compile("[.!?\u2026][\\s\"'\u201d\u2019\u00bb)]+|[\r\n|]+")
+_THAI = re.compile("[\u0e00-\u0e7f]")
+_THAI_BREAKS = re.compile("(?<=[\u0e00-\u0e7f])\\s+|\\s+(?=[\u0e00-\u0e7f])")
+# what must be there before the slower replacements are worth a try
+_FOREIGN = re.compile("[\u0370-\u052f]")
+_MAY_BE_LEET = re.compile("[013457@$][a-z]")
 # marks on Latin letters, and invisible characters
 _MARKS = re.compile("[\u0300-\u036f\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180e\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufe00-\ufe0f\ufeff]+")
 _GAPS = re.compile(r"[ .\-_]")
@@ -103,17 +112,23 @@ def fold(text: str) -> str:
     s = text
     if not s.isascii():
         s = unicodedata.normalize("NFD", unicodedata.normalize("NFKC", s))
-        s = _MARKS.sub("", s).lower().translate(ALIKE)
+        s = _MARKS.sub("", s).lower()
+        if _FOREIGN.search(s):
+            s = s.translate(ALIKE)
     else:
         s = s.lower()
-    s = _LEET.sub(lambda m: m[0].translate(LEET), s)
+    if "$" in s or "@" in s or _MAY_BE_LEET.search(s):
+        s = _LEET.sub(lambda m: m[0].translate(LEET), s)
     s = _SPACED.sub(lambda m: _GAPS.sub("", m[0]) + (" " if m[0][-1] in " ._-" else ""), s)
     return _STRETCHED.sub(r"\1", s)
 
 
 def sentences(folded: str) -> list[str]:
     """The sentences with at least four letters."""
-    return [p for p in _BREAKS.split(folded) if _FOUR.search(p)]
+    parts = _BREAKS.split(folded)
+    if _THAI.search(folded):
+        parts = [q for p in parts for q in (_THAI_BREAKS.split(p) if _THAI.search(p) else (p,))]
+    return [p for p in parts if _FOUR.search(p)]
 
 
 def _plain(word: str) -> str:
@@ -241,30 +256,29 @@ def logits(texts: list[str], w: np.ndarray, bias: float) -> np.ndarray:
     """The classifier's value for each sentence."""
     slots, at = grams(texts)
     total = np.concatenate([[0.0], np.cumsum(w[slots], dtype=np.float64)])
-    return (total[at[1:]] - total[at[:-1]]) / np.sqrt(at[1:] - at[:-1]) + bias
+    return (total[at[1:]] - total[at[:-1]]) / np.sqrt(at[1:] - at[:-1] + SHORT) + bias
 
 
 def train(rows: list[tuple[str, float, float]], rounds: int = 120, rate: float = 0.6, decay: float = 2e-4) -> tuple[np.ndarray, float]:
     """Weights and bias of a logistic classifier for sentences with labels and weights; AdaGrad on the whole sample."""
-    w, bias = np.zeros(SLOTS), 0.0
+    # the bias stays a cautious one: a sentence of few known runs is no abuse
+    w, bias = np.zeros(SLOTS), BIAS
     if not rows:
-        return w.astype(np.float32), -6.0
+        return w.astype(np.float32), BIAS
     flat, at = grams([s for s, _, _ in rows])
     size = np.diff(at)
     y = np.array([p for _, p, _ in rows])
     c = np.array([q for _, _, q in rows])
     c = c / c.sum()
-    scale = 1 / np.sqrt(size)
+    scale = 1 / np.sqrt(size + SHORT)
     used, flat = np.unique(flat, return_inverse=True)
-    v, g2, b2 = np.zeros(len(used)), np.full(len(used), 1e-10), 1e-10
+    v, g2 = np.zeros(len(used)), np.full(len(used), 1e-10)
     for _ in range(rounds):
         z = np.add.reduceat(v[flat], at[:-1]) * scale + bias
         r = c * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
         g = np.bincount(flat, weights=np.repeat(r * scale, size), minlength=len(used)) + decay * v / SLOTS
         g2 += g * g
         v -= rate * g / np.sqrt(g2)
-        b2 += r.sum() ** 2
-        bias -= rate * r.sum() / np.sqrt(b2)
     w[used] = v
     return w.astype(np.float32), float(bias)
 
@@ -299,7 +313,7 @@ def learn(rows: list[tuple[int, str, int]], post: dict[int, float]) -> tuple[np.
     for mine, other in (halves, halves[::-1]):
         silent = [(h, s) for h, s, v in other if not v]
         if mine and silent:
-            z = logits([s for _, s in silent], *train(made(mine)))
+            z = logits([s for _, s in silent], *train(made(mine), rounds=60))
             found |= {h: 1 / (1 + np.exp(-x)) for (h, _), x in zip(silent, z) if x > 0}
     label |= found
     return train(made(rows))
