@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from notelake.operators import references
-from notelake.plans import graph_queries
+from notelake.plans import graph_queries, search_queries
 
-_MODULES = [references, graph_queries]
+_MODULES = [references, graph_queries, search_queries]
 
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 SQL = {name: q for m in _MODULES for name, q in m.SQL.items()}
-FLAGSHIP = "degrees"
+FLAGSHIP = "fts_bm25_topk"
