@@ -134,7 +134,16 @@ def is_newer(current: Column | str, latest: Column | str) -> Column:
 
 
 # The status letters of a signature check and their meaning.
-TRUST = {"G": "good", "U": "good, not known to be trusted", "X": "good, expired", "Y": "good, key expired", "R": "good, key revoked", "B": "bad", "E": "cannot be checked", "N": "none"}
+TRUST = {
+    "G": "good signature",
+    "U": "good signature from an uncertified key",
+    "X": "good signature from an expired key",
+    "Y": "good signature, key expired at signing time",
+    "R": "good signature from a revoked key",
+    "B": "BAD signature — the content does not match it",
+    "E": "signed, but you do not have the key to check it",
+    "N": "not signed",
+}
 
 
 def trust(code: Column | str) -> Column:
