@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 from pyspark.sql.types import StructType
 
-from notelake.sources.scope import INDEX_DIR, Config, Note, Scope, is_note_name
+from notelake.functions.notes import DEPENDENCY_DIRS
+from notelake.sources.scope import Config, Note, Scope, is_note_name
 
 LISTING = "vault string, key string, title string, reference boolean, mtime_ns bigint"
 NOTES = f"{LISTING}, hash string, body string"
@@ -94,8 +95,6 @@ def _in_main(scope: Scope, key: str) -> bool:
         path, is_dir = "/".join(parts[: k + 1]), k < len(parts) - 1
         more = scope._read_rules(os.path.join(scope.root, scope.notes_dir, *parts[:k]), "/".join(parts[:k]))
         own, git = own + more[0], git + more[1]
-        from notelake.functions.notes import DEPENDENCY_DIRS
-
         if parts[k].startswith(".") or (is_dir and parts[k] in DEPENDENCY_DIRS) or scope._ignored(own, git, path, is_dir):
             return False
     return not (scope.config.max_depth and len(parts) > scope.config.max_depth)
@@ -278,4 +277,3 @@ def same_key(a: str, b: str) -> bool:
     return unicodedata.normalize("NFC", a) == unicodedata.normalize("NFC", b)
 
 
-__all__ = ["INDEX_DIR", "VaultSource", "read_vaults", "stream_changes", "create_note", "put_note", "get_note", "delete_note", "resolve_key", "check_key", "content_hash", "same_key"]
