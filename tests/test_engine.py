@@ -56,7 +56,7 @@ def test_refresh_does_the_work_once(engine, tmp_path):
 
 def test_answers(engine):
     engine.refresh()
-    assert [(r["vault"], r["key"]) for r in engine.broken().collect()] == [("work", "sub/B.md")]
+    assert [(r["vault"], r["from_key"]) for r in engine.broken().collect()] == [("work", "sub/B.md")]
     assert [r["title"] for r in engine.links("ideas", "Target")[1].collect()] == ["Ref", "work/A"]
     hits = {r["key"]: r for r in engine.search("target", vaults=["ideas"]).collect()}
     assert hits["vendor/h/Ref.md"]["source"] == "Hand" and hits["Target.md"]["source"] is None
