@@ -37,6 +37,8 @@ SAMPLE = 24_000
 THRESHOLD = 0.5
 #: Misspelt forms that the classifier learns of each sentence with votes.
 VARIANTS = 3
+#: How often a voter speaks on a plain sentence at most.
+SELDOM = 5e-5
 #: The classifier's value for a sentence without known runs.
 BIAS = -3.0
 #: Runs added to a sentence's number when its value is scaled, so that single words tell little.
@@ -226,6 +228,8 @@ def label_model(counts: dict[int, int], rounds: int = 100) -> dict[int, float]:
         # a few sentences' worth of the start keeps a kind that has none from taking another's meaning
         rate = np.clip((mass.T @ fires + strength * start) / (mass.sum(axis=0)[:, None] + strength), 1e-6, 0.98)
         rate[:-HARMLESS, craft] = np.minimum(rate[:-HARMLESS, craft], 0.02)
+        # one voter alone could be put down to plain sentences as well as to a kind of its own: plain ones seldom stir any
+        rate[-1] = np.minimum(rate[-1], SELDOM)
         share = np.maximum(mass.sum(axis=0) / n.sum(), 1e-6)
         share /= share.sum()
     return {p: float(q) for p, q in zip(patterns, post[:, :-HARMLESS].sum(axis=1))}

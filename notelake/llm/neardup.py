@@ -207,7 +207,10 @@ def class_links(items: DataFrame, key_cols: list[str], text_col: str, similarity
     pairs = cut(candidate_pairs(classes, max_distance))
     named = pairs.select(F.col("a").alias("digest")).union(pairs.select(F.col("b").alias("digest"))).distinct()
     reps = signed.select("digest", *key_cols).join(named, "digest").groupBy("digest").agg(F.min(first).alias("rep")).select("digest", "rep.*")
-    texts = items.select(*key_cols, items[text_col].alias("_text_")).join(reps, key_cols).groupBy("digest").agg(F.first("_text_").alias("_text_"))
+    reps = reps.select("digest", *[F.col(c).alias(f"_{k}_") for k, c in enumerate(key_cols)])
+    same = [F.col(c).eqNullSafe(F.col(f"_{k}_")) for k, c in enumerate(key_cols)]
+    # of rows repeated under one key any with the class's set of runs will do, and the exact check below sees only its text
+    texts = items.select(*key_cols, items[text_col].alias("_text_")).join(reps, same).groupBy("digest").agg(F.max("_text_").alias("_text_"))
     joined = pairs.join(texts.select(F.col("digest").alias("a"), F.col("_text_").alias("ta")), "a").join(texts.select(F.col("digest").alias("b"), F.col("_text_").alias("tb")), "b")
     links = joined.select("a", "b", "ta", "tb").mapInArrow(_similar(similarity, min_words), "a binary, b binary, share double")
     return members, links

@@ -71,6 +71,26 @@ def _fill(text: str, natural: list[tuple[int, float]], gap: int) -> list[tuple[i
     return out
 
 
+def _starts(text: str, ends: list[tuple[int, float]], overlap: int) -> list[int]:
+    """Where the piece after each end begins: at the first natural boundary within the overlap, else the first word, else the
+    first character; at the end itself where nothing can be shared."""
+    at = [e for e, _ in ends]
+    out = []
+    for k, e in enumerate(at):
+        low = e - overlap
+        j = bisect_left(at, low, 0, k)
+        while j < k and ends[j][1] > SENTENCE_END:
+            j += 1
+        if low <= 0 or not overlap:
+            out.append(e)
+        elif j < k:
+            out.append(at[j])
+        else:
+            word = _WORDS.search(text, low, e)
+            out.append(word.end() if word and word.end() < e else _plain(text, low, low - 1) if e - low > 1 else e)
+    return out
+
+
 def cut(text: str, max_chars: int = MAX_CHARS, overlap: int = OVERLAP) -> list[tuple[int, int]]:
     """``(start, end)`` of the pieces of a trimmed text."""
     if not 0 <= overlap < max_chars:
@@ -80,22 +100,7 @@ def cut(text: str, max_chars: int = MAX_CHARS, overlap: int = OVERLAP) -> list[t
         return [(0, n)] if n else []
     ends = _fill(text, _natural(text), max(1, (max_chars - overlap) // 3))
     at = [e for e, _ in ends]
-    # the start that follows each end: the first natural boundary or word within the overlap
-    starts = []
-    for k, e in enumerate(at):
-        low = e - overlap
-        j = bisect_left(at, low, 0, k)
-        while j < k and ends[j][1] > SENTENCE_END:
-            j += 1
-        if j < k and at[j] < e and low > 0:
-            starts.append(at[j])
-            continue
-        if low <= 0 or not overlap:
-            starts.append(e)
-            continue
-        word = _WORDS.search(text, low, e)
-        starts.append(word.end() if word and word.end() < e else _plain(text, low, low - 1) if e - low > 1 else e)
-    # an end whose next start is not behind its own piece's start could loop; such starts are the end itself
+    starts = _starts(text, ends, overlap)
     pieces = -(-(n - overlap) // (max_chars - overlap))
     even = (n + (pieces - 1) * overlap) / pieces
     cost = [0.0] * len(at)
