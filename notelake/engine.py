@@ -13,7 +13,7 @@ from notelake.operators import graph as G
 from notelake.operators import health as H
 from notelake.operators import refresh as R
 from notelake.operators import search as S
-from notelake.session import cut
+from notelake.session import cut, ship
 from notelake.sources import vault as V
 from notelake.sources.registry import Registry, sources_table
 from notelake.sources.scope import CONFIG_FILE, Scope
@@ -26,7 +26,7 @@ class Engine:
     """Vaults of a registry, with their derived tables in a store."""
 
     def __init__(self, spark: SparkSession, registry: str, store: str) -> None:
-        self.spark = spark
+        self.spark = ship(spark)
         self.registry = Registry(registry)
         self.store = Store(spark, store)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +27,18 @@ def build_session(app: str = "notelake", master: str | None = None, **conf: str)
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    return builder.config(map=base | conf).getOrCreate()
+    return ship(builder.config(map=base | conf).getOrCreate())
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Lets the session's Python workers on this machine import this package, wherever they were started. A cluster gets it as
+    any other package: installed, or with ``--py-files``."""
+    here = str(Path(__file__).resolve().parent.parent)
+    environment = spark.sparkContext.environment
+    known = environment.get("PYTHONPATH", "")
+    if here not in known.split(os.pathsep):
+        environment["PYTHONPATH"] = os.pathsep.join(filter(None, [here, known]))
+    return spark
 
 
 def shared_folder(spark: SparkSession) -> str:
