@@ -323,8 +323,11 @@ def learn(rows: list[tuple[int, str, int]], post: dict[int, float]) -> tuple[np.
     return train(made(rows))
 
 
-def _votes(sample: int):
-    """For each task the counts of its vote patterns, with the sentences of the lowest hashes, half with votes."""
+def _votes(sample: int, docs: int):
+    """For each task the counts of its vote patterns, with the sentences of the lowest hashes, half with votes. They are drawn
+    from documents chosen by hash, of which there are so few that all tasks together keep some hundred thousand."""
+    most = 1 << 64
+    spoken_below, silent_below = (int(most * min(1.0, k * sample / max(1, docs))) for k in (10, 0.5))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voters = Voters()
@@ -333,10 +336,13 @@ def _votes(sample: int):
         limit = [1 << 63, 1 << 63]
         for batch in batches:
             for text in batch.column(0).to_pylist():
+                of_text = xxhash.xxh64_intdigest(text)
                 for s in sentences(fold(text)):
                     v = voters.vote(s)
                     counts[v] += 1
                     side = 0 if v else 1
+                    if of_text >= (silent_below if side else spoken_below):
+                        continue
                     h = xxhash.xxh64_intdigest(s) >> 1
                     if h < limit[side]:
                         kept[side][h] = (s, v)
@@ -357,7 +363,7 @@ def _votes(sample: int):
 def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> tuple[np.ndarray, float, dict[int, float]]:
     """Weights and bias of the classifier, and the posteriors of the vote patterns. One pass over the documents."""
     texts = docs.select(docs[text_col].alias("t")).where("t is not null")
-    seen = cut(texts.mapInArrow(_votes(sample), "h bigint, s string, v int, n bigint"))
+    seen = cut(texts.mapInArrow(_votes(sample, docs.count()), "h bigint, s string, v int, n bigint"))
     counts = {r["v"]: r["n"] for r in seen.where("n > 0").groupBy("v").agg(F.sum("n").alias("n")).collect()}
     post = label_model(counts)
     drawn = seen.where("n = 0").select("h", "s", "v").distinct()

@@ -278,5 +278,11 @@ def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
     return groups(table(spark, folder, "notes"), ["vault", "key"], "body")
 
 
-SQL: dict[str, str] = {}
+SQL = {
+    "p5_found": r"""with w as (select vault, "key", regexp_extract_all(lower(body), '[\p{L}\p{N}]+') w from notes where body is not null),
+s as (select distinct vault, "key", unnest(list_transform(range(1, len(w) - 1), lambda i: w[i]||' '||w[i + 1]||' '||w[i + 2])) g from w where len(w) >= 20),
+i as (select vault, "key", g, dense_rank() over (order by vault, "key") id from s), n as (select id, any_value(vault) vault, any_value("key") k, count(*) n from i group by id),
+p as (select a.id a, b.id b, count(*) c from i a join i b on a.g = b.g and a.id < b.id group by 1, 2)
+select x.vault vault_a, x.k key_a, y.vault vault_b, y.k key_b from p join n x on x.id = p.a join n y on y.id = p.b where c >= 0.6 * (x.n + y.n - c)""",
+}
 QUERIES = {"p5_found": p5_found, "p5_groups": p5_groups}
