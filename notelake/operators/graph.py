@@ -77,10 +77,12 @@ def key_summary(notes: DataFrame, shown: int = 4) -> DataFrame:
 def degrees(notes: DataFrame, edges_: DataFrame) -> DataFrame:
     """``vault, key, degree`` of linked notes: one for each distinct target, and one for each edge that reaches the note
     by its title; an ambiguous target credits every note with that title."""
-    out = edges_.groupBy("vault", F.col("from_key").alias("key")).agg(F.count("*").alias("d"))
-    in_ = edges_.groupBy("vault", F.col("target").alias("title")).agg(F.count("*").alias("d"))
-    back = notes.select("vault", "key", "title").join(in_, ["vault", "title"]).select("vault", "key", "d")
-    return out.unionByName(back).groupBy("vault", "key").agg(F.sum("d").alias("degree"))
+    # both ends of an edge in one pass, so that the bodies behind the edges are read once
+    ends = F.explode(F.array(F.struct(F.lit("key").alias("kind"), F.col("from_key").alias("name")), F.struct(F.lit("title").alias("kind"), F.col("target").alias("name"))))
+    counted = edges_.select("vault", ends.alias("e")).groupBy("vault", "e.kind", "e.name").agg(F.count("*").alias("d"))
+    names = F.explode(F.array(F.struct(F.lit("key").alias("kind"), F.col("key").alias("name")), F.struct(F.lit("title").alias("kind"), F.col("title").alias("name"))))
+    known = notes.select("vault", "key", names.alias("e")).select("vault", "key", "e.kind", "e.name")
+    return known.join(counted, ["vault", "kind", "name"]).groupBy("vault", "key").agg(F.sum("d").alias("degree"))
 
 
 def graph_lines(edges_: DataFrame) -> DataFrame:
