@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from notelake.functions.notes import cosine, degree_boost, usable_vector
 from notelake.functions.snippets import DEFAULT_CHARS, opening, snippet
 from notelake.functions.tokens import tokens
-from notelake.session import broadcast_bounded
+from notelake.session import at_most, broadcast_bounded
 
 # Constants of the BM25 formula, of the rank fusion, limits of a query and of the pool that is re-ranked.
 K1, B = 1.2, 0.75
@@ -46,17 +46,24 @@ def lengths(notes: DataFrame, segment: object | None = None) -> DataFrame:
     return notes.select("vault", "key", F.explode(fields).alias("f")).select("vault", "key", "f.field", "f.len")
 
 
-def matches(notes: DataFrame, terms: list[str], segment: object | None = None) -> tuple[DataFrame, DataFrame]:
-    """Postings of the terms only and all lengths, straight from the notes, for a search without a written index."""
+def matches(notes: DataFrame, terms: list[str], segment: object | None = None) -> DataFrame:
+    """``vault, key, field, len, m`` of all notes, ``m`` mapping those of ``terms`` that occur to their positions: what a search
+    needs, straight from the notes, without a written index."""
     wanted = F.array(*map(F.lit, terms)) if terms else F.array().cast("array<string>")
-    toks = notes.select("vault", "key", *[tokens(f, segment).alias(f) for f in FIELDS])
-    fields = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("tokens")) for f in FIELDS])
-    each = toks.select("vault", "key", F.explode(fields).alias("f"))
-    sized = each.select("vault", "key", "f.field", F.size("f.tokens").alias("len"))
-    placed = F.filter(F.transform("f.tokens", lambda t, i: F.struct(t.alias("term"), i.alias("pos"))), lambda x: F.array_contains(wanted, x["term"]))
-    per_term = F.filter(F.transform(wanted, lambda t: F.struct(t.alias("term"), F.transform(F.filter("p", lambda x: x["term"] == t), lambda x: x["pos"]).alias("positions"))), lambda s: F.size(s["positions"]) > 0)
-    found = each.select("vault", "key", "f.field", placed.alias("p")).where(F.size("p") > 0).select("vault", "key", "field", F.inline(per_term))
-    return found.select("vault", "key", "field", "term", F.size("positions").alias("tf"), "positions"), sized
+    fields = F.array(*[F.struct(F.lit(f).alias("field"), tokens(f, segment).alias("tokens")) for f in FIELDS])
+    each = notes.select("vault", "key", F.explode(fields).alias("f")).select("vault", "key", "f.field", "f.tokens")
+    placed = F.filter(F.transform("tokens", lambda t, i: F.struct(t.alias("term"), i.alias("pos"))), lambda x: F.array_contains(wanted, x["term"]))
+    hits = each.select("vault", "key", "field", F.size("tokens").alias("len"), placed.alias("p"))
+    per_term = F.transform(wanted, lambda t: F.struct(t.alias("term"), F.transform(F.filter("p", lambda x: x["term"] == t), lambda x: x["pos"]).alias("positions")))
+    return hits.select("vault", "key", "field", "len", F.map_from_entries(F.filter(per_term, lambda s: F.size(s["positions"]) > 0)).alias("m"))
+
+
+def matches_in_index(postings_: DataFrame, lengths_: DataFrame, terms: list[str]) -> DataFrame:
+    """The same from a written index, of which only the postings of the terms are read."""
+    found = postings_.where(F.col("term").isin(*terms)) if terms else postings_.limit(0)
+    per = found.groupBy("vault", "key", "field").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("m"))
+    none = F.create_map().cast("map<string,array<int>>")
+    return lengths_.join(per, ["vault", "key", "field"], "left").select("vault", "key", "field", "len", F.coalesce("m", none).alias("m"))
 
 
 # ---- query language ----
@@ -190,30 +197,32 @@ def _leaf_tf(m: Column, terms: tuple[str, ...]) -> Column:
     return F.size(starts)
 
 
-def bm25(found: DataFrame, sized: DataFrame, query: Node) -> DataFrame:
-    """``vault, key, score`` of the notes that match, from the postings of the query's terms and the lengths of all notes."""
+def few_vaults(table: DataFrame, most: int = 2_000) -> bool:
+    """Whether a table has so few vaults that a bounded number of rows for each may be broadcast; reads one column."""
+    return at_most(table.select("vault").distinct(), most)
+
+
+def bm25(fields: DataFrame, query: Node, few: bool = False) -> DataFrame:
+    """``vault, key, score`` of the notes that match, from ``matches``. The notes are gone through twice: once for the
+    statistics of each vault (a row per vault and field, broadcast where vaults are ``few``), once for the scores."""
     leaves = query.leaves()
-    by_field = sized.groupBy("vault", "field").agg(F.count("*").alias("n"), F.avg("len").alias("avg"))
-    freq = found.groupBy("vault", "field", "term").agg(F.count("*").alias("df"))
-    freq = freq.groupBy("vault", "field").agg(F.map_from_entries(F.collect_list(F.struct("term", "df"))).alias("df"))
-    stats = by_field.join(freq, ["vault", "field"], "left")
-    empty = F.create_map().cast("map<string,array<int>>")
-    per = found.groupBy("vault", "key", "field").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("m"))
-    paths = [leaf for leaf, _ in leaves if leaf.fields == ("path",)]
-    if paths:
-        named = sized.where(F.col("field") == "body").where(F.col("key").isin(*[leaf.terms[0] for leaf in paths]))
-        per = per.unionByName(named.select("vault", "key", F.lit("path").alias("field"), empty.alias("m")))
-    per = per.join(broadcast_bounded(stats), ["vault", "field"], "left").join(sized, ["vault", "key", "field"], "left")
+    terms = sorted({t for leaf, _ in leaves if leaf.fields != ("path",) for t in leaf.terms})
+    paths = [leaf.terms[0] for leaf, _ in leaves if leaf.fields == ("path",)]
+    number = {t: k for k, t in enumerate(terms)}
+    has = [F.count_if(F.element_at("m", F.lit(t)).isNotNull()).alias(f"df{k}") for t, k in number.items()]
+    stats = fields.groupBy("vault", "field").agg(F.count("*").alias("n"), F.avg("len").alias("avg"), *has)
+    named = (F.col("field") == "body") & F.col("key").isin(*paths) if paths else F.lit(False)
+    per = fields.where((F.size("m") > 0) | named).join(F.broadcast(stats) if few else stats, ["vault", "field"])
     tf_cols, score = [], F.lit(0.0)
     for k, (leaf, negated) in enumerate(leaves):
         if leaf.fields == ("path",):
-            tf = F.when((F.col("field") == "path") & (F.col("key") == leaf.terms[0]), 1).otherwise(0)
+            tf = F.when((F.col("field") == "body") & (F.col("key") == leaf.terms[0]), 1).otherwise(0)
             part = tf.cast("double")
         else:
             tf = F.when(F.col("field").isin(*leaf.fields), _leaf_tf(F.col("m"), leaf.terms)).otherwise(0)
             idf = F.lit(0.0)
             for t in leaf.terms:
-                df = F.coalesce(F.element_at("df", F.lit(t)), F.lit(0)).cast("double")
+                df = F.col(f"df{number[t]}").cast("double")
                 idf = idf + F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5))
             t = tf.cast("double")
             part = F.when(tf > 0, idf * t * (K1 + 1) / (t + K1 * (1 - B + B * F.col("len") / F.col("avg")))).otherwise(0.0)
@@ -255,10 +264,8 @@ def lexical(notes: DataFrame, text: str, index: tuple[DataFrame, DataFrame] | No
     """``vault, key, score`` for a query text, from a written index or straight from the notes."""
     query = parse_query(text)
     terms = sorted({t for leaf, _ in query.leaves() if leaf.fields != ("path",) for t in leaf.terms})
-    found, sized = index or matches(notes, terms)
-    if index:
-        found = found.where(F.col("term").isin(*terms)) if terms else found.limit(0)
-    return bm25(found, sized, query)
+    few = few_vaults(index[1] if index else notes)
+    return bm25(matches_in_index(*index, terms) if index else matches(notes, terms), query, few)
 
 
 def ranked(scored: DataFrame, degrees: DataFrame, limit: int = DEFAULT_LIMIT) -> DataFrame:
@@ -301,7 +308,7 @@ def with_snippets(hits: DataFrame, notes: DataFrame, text: str, chars: int = DEF
     """The hits with ``title`` and ``snippet``: bodies are read for these only. Hits are at most MAX_LIMIT a vault."""
     query = parse_query(text)
     terms = sorted({t for leaf, negated in query.leaves() if not negated and "body" in leaf.fields for t in leaf.terms})
-    bodies = notes.select("vault", "key", "title", "body").join(broadcast_bounded(hits), ["vault", "key"])
+    bodies = notes.select("vault", "key", "title", "body").join(F.broadcast(hits) if few_vaults(notes) else hits, ["vault", "key"])
     made = snippet(terms, chars)("body") if terms else opening("body", chars)
     return bodies.withColumn("snippet", made).drop("body")
 
