@@ -47,15 +47,18 @@ def lengths(notes: DataFrame, segment: object | None = None) -> DataFrame:
 
 
 def matches(notes: DataFrame, terms: list[str], segment: object | None = None) -> DataFrame:
-    """``vault, key, field, len, m`` of all notes, ``m`` mapping those of ``terms`` that occur to their positions: what a search
+    """``vault, key, field, len, hit, m`` of all notes, ``m`` mapping those of ``terms`` that occur to their positions: what a search
     needs, straight from the notes, without a written index."""
     wanted = F.array(*map(F.lit, terms)) if terms else F.array().cast("array<string>")
     fields = F.array(*[F.struct(F.lit(f).alias("field"), tokens(f, segment).alias("tokens")) for f in FIELDS])
     each = notes.select("vault", "key", F.explode(fields).alias("f")).select("vault", "key", "f.field", "f.tokens")
+    # most notes have none of the terms and skip the rest
+    hit = F.coalesce(F.arrays_overlap("tokens", wanted), F.lit(False))
     placed = F.filter(F.transform("tokens", lambda t, i: F.struct(t.alias("term"), i.alias("pos"))), lambda x: F.array_contains(wanted, x["term"]))
-    hits = each.select("vault", "key", "field", F.size("tokens").alias("len"), placed.alias("p"))
-    per_term = F.transform(wanted, lambda t: F.struct(t.alias("term"), F.transform(F.filter("p", lambda x: x["term"] == t), lambda x: x["pos"]).alias("positions")))
-    return hits.select("vault", "key", "field", "len", F.map_from_entries(F.filter(per_term, lambda s: F.size(s["positions"]) > 0)).alias("m"))
+    none = F.create_map().cast("map<string,array<int>>")
+    per_term = F.transform(wanted, lambda t: F.struct(t.alias("term"), F.transform(F.filter(placed, lambda x: x["term"] == t), lambda x: x["pos"]).alias("positions")))
+    found = F.when(hit, F.map_from_entries(F.filter(per_term, lambda s: F.size(s["positions"]) > 0))).otherwise(none)
+    return each.select("vault", "key", "field", F.size("tokens").alias("len"), hit.alias("hit"), found.alias("m"))
 
 
 def matches_in_index(postings_: DataFrame, lengths_: DataFrame, terms: list[str]) -> DataFrame:
@@ -63,7 +66,7 @@ def matches_in_index(postings_: DataFrame, lengths_: DataFrame, terms: list[str]
     found = postings_.where(F.col("term").isin(*terms)) if terms else postings_.limit(0)
     per = found.groupBy("vault", "key", "field").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("m"))
     none = F.create_map().cast("map<string,array<int>>")
-    return lengths_.join(per, ["vault", "key", "field"], "left").select("vault", "key", "field", "len", F.coalesce("m", none).alias("m"))
+    return lengths_.join(per, ["vault", "key", "field"], "left").select("vault", "key", "field", "len", F.col("m").isNotNull().alias("hit"), F.coalesce("m", none).alias("m"))
 
 
 # ---- query language ----
@@ -212,7 +215,7 @@ def bm25(fields: DataFrame, query: Node, few: bool = False) -> DataFrame:
     has = [F.count_if(F.element_at("m", F.lit(t)).isNotNull()).alias(f"df{k}") for t, k in number.items()]
     stats = fields.groupBy("vault", "field").agg(F.count("*").alias("n"), F.avg("len").alias("avg"), *has)
     named = (F.col("field") == "body") & F.col("key").isin(*paths) if paths else F.lit(False)
-    per = fields.where((F.size("m") > 0) | named).join(F.broadcast(stats) if few else stats, ["vault", "field"])
+    per = fields.where(F.col("hit") | named).join(F.broadcast(stats) if few else stats, ["vault", "field"])
     tf_cols, score = [], F.lit(0.0)
     for k, (leaf, negated) in enumerate(leaves):
         if leaf.fields == ("path",):
