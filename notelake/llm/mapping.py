@@ -283,12 +283,28 @@ def _best(folded, entries, words, rank, sets, sizes, posting, letters, similarit
     return best and (best[2], -best[1], best[0])
 
 
+def untitled(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """The rows (``value``) that are not an entry's main name itself."""
+    return rows.join(broadcast_bounded(names.select(F.col("name").alias("value")).distinct()), "value", "left_anti")
+
+
+def with_head(rows: DataFrame) -> DataFrame:
+    """The rows (``value``) with ``_head``, what stands before the first ``/``."""
+    return rows.withColumn("_head", F.when(F.instr("value", "/") > 0, F.substring_index("value", "/", 1)))
+
+
 def open_rows(rows: DataFrame, names: DataFrame, spaces: DataFrame) -> DataFrame:
     """The rows (``value``) that may need mapping: not an entry's main name itself, and without one of ``spaces`` (``name``)
     before a ``/``."""
-    head = F.when(F.instr("value", "/") > 0, F.substring_index("value", "/", 1))
-    kept = rows.join(broadcast_bounded(names.select(F.col("name").alias("value")).distinct()), "value", "left_anti")
-    return kept.withColumn("_head", head).join(broadcast_bounded(spaces.select(F.col("name").alias("_head")).distinct()), "_head", "left_anti").drop("_head")
+    return with_head(untitled(rows, names)).join(broadcast_bounded(spaces.select(F.col("name").alias("_head")).distinct()), "_head", "left_anti").drop("_head")
+
+
+def with_text(values: DataFrame, spaces: DataFrame) -> DataFrame:
+    """The values (``value``) with ``text``, what names the page: the value without one of ``spaces`` (``name``) before its
+    first ``/``, if anything follows."""
+    known = broadcast_bounded(spaces.where("name is not null").select(F.col("name").alias("_head"), F.lit(True).alias("_known")).distinct())
+    rest = trimmed(F.expr("substring(value, instr(value, '/') + 1)"))
+    return with_head(values).join(known, "_head", "left").withColumn("text", F.when(F.col("_known") & (F.length(rest) > 0), rest).otherwise(F.col("value"))).drop("_head", "_known")
 
 
 def with_mapping(rows: DataFrame, mapped: DataFrame, values: DataFrame, heavy_rows: int = HEAVY_ROWS, max_heavy: int = MAX_HEAVY) -> DataFrame:
@@ -312,22 +328,22 @@ def _inputs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, Dat
     return rows.where(F.length("value") > 0), names, every, table(spark, folder, "vaults").select("name")
 
 
-def _mapped(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """One row for each record whose value is another way of typing a topic."""
     rows, names, every, spaces = _inputs(spark, folder)
     rows = open_rows(rows, names, spaces)
     mapped, values = map_values(rows.groupBy("value").agg(F.count("*").alias("n")), every)
-    return rows, cut(mapped), values
-
-
-def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    """One row for each record whose value is another way of typing a topic."""
-    return with_mapping(*_mapped(spark, folder)).select("src", "rec_id", F.col("id").alias("topic_id"))
+    return with_mapping(rows, cut(mapped), values).select("src", "rec_id", F.col("id").alias("topic_id"))
 
 
 def p2_unmatched(spark: SparkSession, folder: str) -> DataFrame:
-    """The distinct values that mean no topic, with the number of rows that carry them."""
-    _, mapped, values = _mapped(spark, folder)
-    return values.join(mapped.select("value"), "value", "left_anti").select("value", "n")
+    """The distinct values that mean no topic, with the number of rows that carry them. A value with a vault name before a
+    ``/`` means what follows, and is reported if that is no topic's name and no way of typing one."""
+    rows, names, every, spaces = _inputs(spark, folder)
+    values = cut(with_text(untitled(rows, names).groupBy("value").agg(F.count("*").alias("n")), spaces))
+    mapped, _ = map_values(values.groupBy(F.col("text").alias("value")).agg(F.sum("n").alias("n")), every)
+    meant = cut(mapped.select(F.col("value").alias("text"))).union(names.select("name"))
+    return values.join(meant, "text", "left_anti").select("value", "n")
 
 
 SQL: dict[str, str] = {}

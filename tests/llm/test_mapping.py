@@ -81,6 +81,19 @@ def test_rows(spark, save, monkeypatch, heavy_rows):
     assert [(r["value"], r["n"]) for r in M.p2_unmatched(spark, folder).collect()] == [("README", 1)]
 
 
+def test_values_with_a_vault_name_are_reported(spark, save):
+    links = ["home/README", "home/README", " home/ Why rozosu ", "home/Cache rotation", "home/ROTATION OF CACHES", "home/", "away/README", "home/sub/README", "Cache rotaton", "Cache rotation", "/x", "README"]
+    folder = save(
+        wiki_links=(list(enumerate(links)), "link_id bigint, target string"),
+        note_updates=([(1, "home/README")], "update_id bigint, title string"),
+        topics=([(8, "Cache rotation", None)], "topic_id int, title string, aka array<string>"),
+        vaults=([("home",), (None,)], "name string"),
+    )
+    got = {r["value"]: r["n"] for r in M.p2_unmatched(spark, folder).collect()}
+    assert got == {"home/README": 3, "home/ Why rozosu": 1, "home/": 1, "away/README": 1, "home/sub/README": 1, "/x": 1, "README": 1}
+    assert [r["rec_id"] for r in M.p2_found(spark, folder).collect()] == [8]
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables here")
 def test_whole_tables(spark):
     assert M.p2_found(spark, "/root/testdata/sf0.001").count() > 20
