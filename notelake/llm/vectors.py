@@ -7,8 +7,7 @@ best of them are reranked by the cosine. Vectors travel as 16-bit integers scale
 a cosine by about 0.000005.
 
 Pivots are at most ``MAX_PIVOTS`` rows whatever the size (the one thing the driver holds and broadcasts); their number
-grows with the collection up to that, and beyond it vectors are posted under pairs of pivots instead of single ones, so
-that files keep their length. A file of over ``MAX_LIST`` vectors is cut into blocks of which each task holds one of
+grows with the collection up to that, and beyond it files grow with the collection. A file of over ``MAX_LIST`` vectors is cut into blocks of which each task holds one of
 queries and one of data; all blocks meet. Equal vectors are one class, posted once; a class keeps so many members that
 the nearest of other owners can be told for each.
 
@@ -34,9 +33,10 @@ from notelake.sources.tables import table
 DIM = 64
 MAX_PIVOTS = 16_384
 MAX_LIST = 8_192
-#: Vectors for each pivot, and the size from which single pivots no longer give short files.
+#: Vectors for each pivot.
 PER_PIVOT = 180
-PAIRS_FROM = 2 * MAX_PIVOTS * PER_PIVOT
+#: Size from which vectors are posted under pairs of pivots, which gives shorter files but loses neighbours; off if none.
+PAIRS_FROM: int | None = None
 
 
 def _unit(q: np.ndarray) -> np.ndarray:
@@ -210,7 +210,7 @@ def most_similar(
         return spark.createDataFrame([], "id_a bigint, id_b bigint, cosine double, rank int")
     points = _unit(np.stack([np.frombuffer(q, dtype="<i2") for q in chosen]))
     length = min(length, len(points), 255)
-    pairs = n > PAIRS_FROM
+    pairs = PAIRS_FROM is not None and n > PAIRS_FROM
     grouped = rows.groupBy("q").agg(F.min(F.struct("id", "note")).alias("f"), F.count("*").alias("n"), (F.min("note") != F.max("note")).alias("many"), F.max("query").alias("query"))
     orders = cut(_orders(grouped.select(F.col("f.id").alias("cls"), F.col("f.note").alias("note"), "many", "query", "n", "q"), points, length, dim))
     if query_lists is None:

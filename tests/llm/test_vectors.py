@@ -59,6 +59,17 @@ def test_pairs_of_pivots(spark, monkeypatch):
     assert hit >= 0.9 * sum(map(len, want.values()))
 
 
+def test_same_posting_at_any_size(spark, monkeypatch):
+    """The rows are told to be many more than they are; all of them are pivots either way."""
+    rows = made(6, 400, 20)
+    df = frame(spark, rows)
+    want = ask(spark, rows, pivots=10**8)
+    monkeypatch.setattr(V, "MAX_PIVOTS", 10**8)
+    real, told = type(df).count, []
+    monkeypatch.setattr(type(df), "count", lambda self: real(self) if told else told.append(real(self)) or 10**8)
+    assert ask(spark, rows, pivots=10**8) == want and told == [400]
+
+
 def test_only_asked_rows(spark):
     rows = made(3, 200, 5)
     got = ask(spark, rows, queries=F.col("vec_id") % 50 == 0, query_lists=8, pivots=32)
