@@ -85,6 +85,10 @@ def _mask_keys(fps: np.ndarray) -> np.ndarray:
     return out.reshape(len(fps), SYMBOLS)
 
 
+def _digest(hashes: np.ndarray) -> bytes:
+    return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
+
+
 def signatures(items: DataFrame, key_cols: list[str], text_col: str, min_words: int = MIN_WORDS) -> DataFrame:
     """The key columns, ``digest`` of the set of runs and ``fp`` (packed symbols) of each text long enough."""
     slim = items.select(*key_cols, items[text_col].alias("_text_")).where("_text_ is not null")
@@ -98,7 +102,7 @@ def signatures(items: DataFrame, key_cols: list[str], text_col: str, min_words:
                 if found is None:
                     continue
                 rows.append(k)
-                digests.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
+                digests.append(_digest(found))
                 fps.append(fingerprint(found).tobytes())
             own = [pa.array(digests, type=pa.binary()), pa.array(fps, type=pa.binary())]
             kept = [batch.column(k).take(pa.array(rows, type=pa.int32())) for k in range(len(key_cols))]
@@ -171,6 +175,21 @@ def candidate_pairs(classes: DataFrame, max_distance: int, bucket: int = BUCKET)
     return near.unionByName(far).distinct()
 
 
+def _own_texts(min_words: int):
+    """The rows (``digest, _text_``) whose text has the class's set of runs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = []
+            for k, (digest, text) in enumerate(zip(batch.column(0), batch.column(1))):
+                found = runs(text.as_py(), min_words)
+                if found is not None and _digest(found) == digest.as_py():
+                    kept.append(k)
+            yield batch.take(pa.array(kept, type=pa.int32()))
+
+    return run
+
+
 def _similar(similarity: float, min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,8 +228,9 @@ def class_links(items: DataFrame, key_cols: list[str], text_col: str, similarity
     reps = signed.select("digest", *key_cols).join(named, "digest").groupBy("digest").agg(F.min(first).alias("rep")).select("digest", "rep.*")
     reps = reps.select("digest", *[F.col(c).alias(f"_{k}_") for k, c in enumerate(key_cols)])
     same = [F.col(c).eqNullSafe(F.col(f"_{k}_")) for k, c in enumerate(key_cols)]
-    # of rows repeated under one key any with the class's set of runs will do, and the exact check below sees only its text
-    texts = items.select(*key_cols, items[text_col].alias("_text_")).join(reps, same).groupBy("digest").agg(F.max("_text_").alias("_text_"))
+    # rows of one key may have different texts: only those with the class's set of runs are its texts, and any of them will do
+    texts = items.select(*key_cols, items[text_col].alias("_text_")).where("_text_ is not null").join(reps, same).select("digest", "_text_")
+    texts = texts.mapInArrow(_own_texts(min_words), "digest binary, _text_ string").groupBy("digest").agg(F.max("_text_").alias("_text_"))
     joined = pairs.join(texts.select(F.col("digest").alias("a"), F.col("_text_").alias("ta")), "a").join(texts.select(F.col("digest").alias("b"), F.col("_text_").alias("tb")), "b")
     links = joined.select("a", "b", "ta", "tb").mapInArrow(_similar(similarity, min_words), "a binary, b binary, share double")
     return members, links

@@ -86,6 +86,15 @@ def test_null_keys_keep_their_links(spark):
     assert found(D.near_pairs(frame(spark, rows), ["vault", "key"], "body")) == {(None, "x", "v", "y")}
 
 
+def test_different_texts_under_one_key(spark):
+    rng = random.Random(4)
+    base = text(rng, 100)
+    for key in ("a", None):
+        rows = [("v", key, " ".join(base)), ("v", key, "zz zz"), ("v", key, "zz " + " ".join(text(rng, 100))), ("v", "b", " ".join(base[:-2]))]
+        got = found(D.near_pairs(frame(spark, rows), ["vault", "key"], "body"))
+        assert got == {("v", key, "v", "b")}
+
+
 def test_components(spark):
     rng = random.Random(7)
     edges = [(a, a + 1) for a in range(0, 40)] + [(rng.randrange(100, 160), rng.randrange(100, 160)) for _ in range(40)]
