@@ -10,15 +10,15 @@ from pyspark.sql import functions as F
 
 from notelake.functions.text import WHITE_SPACE, trimmed
 
-# Characters of a chunk and chunks of a note at most.
+# Characters of a chunk at most, and the chunks after which `chunk` stops unless told otherwise.
 CHUNK_CHARS, MAX_CHUNKS = 900, 200
 
 
-def chunk(text: str) -> list[str]:
-    """Chunks of at most CHUNK_CHARS characters, at most MAX_CHUNKS: each ends at the last blank line, else the last line
+def chunk(text: str, most: int | None = MAX_CHUNKS) -> list[str]:
+    """Chunks of at most CHUNK_CHARS characters, at most ``most`` (None: the whole text): each ends at the last blank line, else the last line
     end, in the second half of its reach, else at its full length; blank chunks are left out."""
     body, out, start = text.strip(WHITE_SPACE), [], 0
-    while start < len(body) and len(out) < MAX_CHUNKS:
+    while start < len(body) and (most is None or len(out) < most):
         reach = start + CHUNK_CHARS
         end = min(reach, len(body))
         if reach < len(body):
@@ -32,12 +32,12 @@ def chunk(text: str) -> list[str]:
     return out
 
 
-def chunks(notes: DataFrame) -> DataFrame:
-    """``vault, key, title, hash, chunk_ix, chunk`` of the notes' bodies."""
+def chunks(notes: DataFrame, most: int | None = None) -> DataFrame:
+    """``vault, key, title, hash, chunk_ix, chunk`` of the notes' bodies, whole unless ``most`` chunks of each are asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [(row, ix, c) for row, body in enumerate(batch.column(4).to_pylist()) for ix, c in enumerate(chunk(body or ""))]
+            made = [(row, ix, c) for row, body in enumerate(batch.column(4).to_pylist()) for ix, c in enumerate(chunk(body or "", most))]
             rows = pa.array([r for r, _, _ in made], type=pa.int32())
             own = [pa.array([i for _, i, _ in made], type=pa.int32()), pa.array([c for *_, c in made], type=pa.string())]
             yield pa.RecordBatch.from_arrays([*(batch.column(k).take(rows) for k in range(4)), *own], names=["vault", "key", "title", "hash", "chunk_ix", "chunk"])

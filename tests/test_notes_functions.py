@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from notelake.functions import notes as N
-from notelake.functions.chunks import CHUNK_CHARS, MAX_CHUNKS, chunk
+from notelake.functions.chunks import CHUNK_CHARS, MAX_CHUNKS, chunk, chunks, passages
 from notelake.functions.snippets import excerpt
 from notelake.functions.text import WHITE_SPACE, not_blank, title_of, trimmed
 from notelake.functions.tokens import Trie, runs, segmenter, tokens
@@ -110,3 +110,10 @@ def test_excerpt():
     assert "<b>cats</b> &amp; <b>dogs</b>" in found
     assert len(found.replace("<b>", "").replace("</b>", "").replace("&amp;", "&")) <= 60
     assert excerpt("Cats", {"cats"}, 5) == "<b>Cats</b>"
+
+
+def test_chunks_of_a_long_body_are_whole(spark):
+    body = "x" * (CHUNK_CHARS * (MAX_CHUNKS + 5))
+    notes = spark.createDataFrame([("v", "k", "t", "h", body)], "vault string, key string, title string, hash string, body string")
+    assert "".join(r["chunk"] for r in chunks(notes).orderBy("chunk_ix").collect()) == body
+    assert passages(notes).count() == MAX_CHUNKS + 5 and chunks(notes, MAX_CHUNKS).count() == MAX_CHUNKS
