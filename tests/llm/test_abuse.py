@@ -1,9 +1,14 @@
 import os
+import sys
 
+import numpy as np
 import pytest
 
 from notelake.llm import abuse as A
 
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+from unseen import ABUSIVE, HARMLESS, lines  # noqa: E402
+
 DDL = "doc_id bigint, text string, source string, score string, h string, s int"
 BAD = [
     "Shut your mouth, you pathetic idiot.", "Get lost, moron, nobody asked for your opinion.", "I will find out where you live and break your legs.", "Do everyone a favour and kill yourself.", "Foreigners are vermin and should be thrown out of this country.",
@@ -28,16 +33,39 @@ def test_voters_hear_disguises():
     for s in BAD:
         assert v.vote(A.fold(s)), s
     assert v.vote("a plain sentence about caches") == 0
-    assert v.vote("he is an idiotic") & 1 == 0 and v.vote("two idiots") & 1
+    assert v.vote("he is an idiotically") & 1 == 0 and v.vote("two idiots") & 1
+    # a word of one language does not speak by the pronouns of another
+    assert v.vote("you may rename the gros column") == 0
+
+
+def test_no_fragment_is_lost():
+    assert A.sentences("pig. you are the worst") == ["pig you are the worst"] and A.sentences("the build is red\nmist") == ["the build is red", "mist"]
+    assert A.sentences("ok") == ["ok"] and A.sentences(" \n") == [] and A.sentences("the build is red. ok") == ["the build is red ok"]
+
 
+def mask(*names):
+    return sum(1 << A.Voters.NAMES.index(n) for n in names)
 
-def test_label_model_tells_kinds_apart():
-    name = A.Voters.NAMES.index
-    mask = lambda *names: sum(1 << name(n) for n in names)
-    counts = {0: 100_000, mask("craft"): 900, mask("insult", "craft"): 100, mask("threat"): 60, mask("insult", "insult at someone", "silencing"): 40, mask("sexual", "sexual at someone"): 80, mask("group attacked", "attack words"): 70}
+
+def test_label_model():
+    sure = mask("insult", "insult near someone", "second person")
+    counts = {0: 100_000, mask("insult", "mention"): 300, mask("insult"): 5, sure: 80, mask("threat", "second person"): 50, mask("explicit", "compound"): 90, mask("explicit", "explicit with someone"): 40}
     post = A.label_model(counts)
-    assert all(post[m] > 0.9 for m in list(counts)[3:]) and all(post[m] < 0.1 for m in list(counts)[:3])
-    assert A.label_model({}) == {}
+    assert post[0] == 0 and post[sure] > 0.9 and post[mask("threat", "second person")] > 0.8 and post[mask("explicit", "explicit with someone")] > 0.8
+    assert post[mask("insult", "mention")] < 0.1 and post[mask("explicit", "compound")] < 0.1
+    assert A.label_model({}) == {} and A.label_model({0: 5}) == {0: 0.0}
+
+
+def test_votes_that_go_together_are_not_counted_twice():
+    """Two voters that always speak together are one piece of evidence: the tree holds what one tells about the other."""
+    rng = np.random.default_rng(5)
+    y = rng.random(4000) < 0.3
+    a = rng.random(4000) < np.where(y, 0.7, 0.4)
+    fires = np.stack([a, a, rng.random(4000) < np.where(y, 0.9, 0.1)], axis=1).astype(float)
+    assert {frozenset(e) for e in A._tree(fires, np.ones(4000)) if e[1] >= 0} >= {frozenset((0, 1))}
+    one = A._log_likelihood(fires[:, [0, 2]], y * 1.0) - A._log_likelihood(fires[:, [0, 2]], 1.0 - y)
+    two = A._log_likelihood(fires, y * 1.0) - A._log_likelihood(fires, 1.0 - y)
+    assert abs(one - two).max() < 0.5
 
 
 def corpus():
@@ -53,19 +81,39 @@ def corpus():
 def test_scores(spark):
     rows = corpus() + [(1000, None, "a"), (1001, "", "a"), (1002, " \n　", "a"), (1003, "Shut yuor mouht, you pathetc idoit.", None), (1004, "plain words " * 20_000 + BAD[0], "a"), (0, corpus()[0][1], "a")]
     docs = spark.createDataFrame([(*r, "x", "y", 1) for r in rows], DDL)
-    w, bias, post = A.fit(docs)
-    got = {r["doc_id"]: r["score"] for r in A.scores(docs, ["doc_id", "source"], (w, bias)).collect()}
+    w, post = A.fit(docs.where("doc_id <> 1003"))
+    got = {r["doc_id"]: r["score"] for r in A.scores(docs, ["doc_id", "source"], w).collect()}
     assert len(got) == len(rows) - 1
     assert {k for k in range(400) if got[k] >= A.THRESHOLD} == set(range(0, 400, 10))
     assert got[1000] == got[1001] == got[1002] == 0 and got[1003] > 0.5 and got[1004] > 0.5
-    again = A.fit(docs.repartition(7))
-    assert again[2] == pytest.approx(post) and abs(again[0] - w).max() < 1e-6
+    again = A.fit(docs.where("doc_id <> 1003").repartition(7))
+    assert again[1] == pytest.approx(post) and abs(again[0] - w).max() < 1e-6
 
 
 def test_empty(spark):
     docs = spark.createDataFrame([], DDL)
-    w, bias, post = A.fit(docs)
-    assert post == {} and not w.any() and A.scores(docs, ["doc_id"], (w, bias)).count() == 0
+    w, post = A.fit(docs)
+    assert post == {} and not w.any() and A.scores(docs, ["doc_id"], w).count() == 0
+
+
+def test_long_lines_are_read_in_parts(spark):
+    long = "word " * 5_000 + "you pathetic idiot " + "word " * 5_000
+    parts = A.sentences(long)
+    assert max(map(len, parts)) == A.LONGEST and parts[0] + "".join(p[A.SHARED :] for p in parts[1:]) == long
+    docs = spark.createDataFrame([(*r, "x", "y", 1) for r in corpus() + [(2000, long, "a")]], DDL)
+    w, _ = A.fit(docs)
+    assert {r["doc_id"] for r in A.scores(docs, ["doc_id"], w).where("score >= 0.5").collect()} >= {2000}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables here")
+def test_unseen_sentences(spark):
+    """Held-out accuracy on sentences that no document holds; the classifier learns from the documents alone."""
+    w, _ = A.fit(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+    bad, good = lines(ABUSIVE), lines(HARMLESS)
+    docs = spark.createDataFrame([(k, text) for k, (_, text) in enumerate(bad + good)], "doc_id int, text string")
+    found = {r["doc_id"] for r in A.scores(docs, ["doc_id"], w).where(f"score >= {A.THRESHOLD}").collect()}
+    assert len(bad) == len(good) == 100
+    assert sum(k < 100 for k in found) >= 80 and sum(k >= 100 for k in found) <= 5
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables here")
