@@ -11,7 +11,7 @@ votes is the prior, and the model gives each pattern of votes its posterior.
 
 A linear classifier on the votes and on hashed runs of five bytes is trained on sentences with these posteriors as
 labels (at most ``SAMPLE`` sentences of at most ``LONGEST`` characters, half of them with votes and these in misspelt forms
-too; no reviewer's verdict is used) and scores every sentence of every document. A document's score is its highest
+too, a quarter with words of the lexicons but no vote; no reviewer's verdict is used) and scores every sentence of every document. A document's score is its highest
 sentence's.
 
 Defined results: null, empty and blank texts score 0; texts are read whole; quotes and code count; a fragment of fewer
@@ -46,8 +46,8 @@ LONGEST, SHARED = 600, 100
 THRESHOLD = 0.5
 #: Misspelt forms that the classifier learns of each sentence with votes.
 VARIANTS = 3
-#: Weight of a sentence without votes, of one with a sure label 1.2.
-SILENT = 0.3
+#: Weight of all sentences without votes together, against that of all others.
+SILENT = 1.0
 #: The classifier's value for a sentence without votes and known runs.
 BIAS = -3.0
 #: Runs added to a sentence's number when its value is scaled, so that single words tell little.
@@ -119,6 +119,8 @@ def sentences(folded: str) -> list[str]:
     return out
 
 
+# A sentence that has words of the lexicons but no vote.
+NEAR = 1 << 30
 LANGUAGES = ("en", "de", "fr", "es", "th")
 # An unnamed group by its place in a sentence, for each language: a plural subject of which something is said.
 _PLURAL = {
@@ -228,7 +230,7 @@ class Voters:
             bool(tongues("explicit") & someone),
         )
         if not any(votes):
-            return 0
+            return NEAR
         about = (bool(get("technical")), bool(get("mention")), bool(get("self")), bool(get("compound")), bool(second))
         return sum(1 << k for k, v in enumerate((*votes, *about)) if v)
 
@@ -343,7 +345,7 @@ def logits(texts: list[str], votes: list[int], w: np.ndarray) -> np.ndarray:
 def _vote_weights(post: dict[int, float], rounds: int = 2_000, rate: float = 0.5) -> np.ndarray:
     """What the votes alone tell: logistic weights for the patterns' posteriors. A voter that never speaks in the corpus keeps
     the meaning it starts with."""
-    seen = [(p, q) for p, q in post.items() if p]
+    seen = [(p, q) for p, q in post.items() if p not in (0, NEAR)]
     seen += [(1 << k, float(majority(START[k]))) for k in range(len(Voters.NAMES)) if not any(p >> k & 1 for p, _ in seen)]
     x, y = fired([p for p, _ in seen]), np.array([q for _, q in seen])
     u, h2 = np.zeros(x.shape[1]), np.full(x.shape[1], 1e-10)
@@ -399,34 +401,45 @@ def learn(rows: list[tuple[int, str, int]], post: dict[int, float]) -> np.ndarra
     """The classifier for sentences (hash, text, votes) and the posteriors of the votes. Sentences with votes are learnt in
     misspelt forms without votes too, so that their words tell by themselves; harmless ones as well as abusive ones."""
     rows = sorted(rows)
-    # a silent sentence has the label of no evidence, so that ordinary text counts neither for nor against, and little weight
-    none = 1 / (1 + np.exp(-BIAS))
-    made = [(s, v, post[v], 0.2 + abs(2 * post[v] - 1)) if v else (s, 0, none, SILENT) for _, s, v in rows]
-    for h, s, v in rows:
-        for other in {misspelt(s, h + k) for k in range(VARIANTS if v else 0)}:
+    spoken = [r for r in rows if r[2] not in (0, NEAR)]
+    made = [(s, v, post[v], 0.2 + abs(2 * post[v] - 1)) for _, s, v in spoken]
+    for h, s, v in spoken:
+        for other in {misspelt(s, h + k) for k in range(VARIANTS)}:
             made.append((other, 0, post[v], abs(2 * post[v] - 1)))
+    # a silent sentence has the label of no evidence, so that ordinary text counts neither for nor against
+    silent = [s for _, s, v in rows if v in (0, NEAR)]
+    weight = SILENT * (sum(c for *_, c in made) or 1.0) / max(1, len(silent))
+    made += [(s, 0, 1 / (1 + np.exp(-BIAS)), weight) for s in silent]
     return train(sorted(made), _vote_weights(post)) if rows else train([], np.zeros(0))
 
 
+# What the sample holds: half sentences with votes, a quarter such with words of the lexicons but without a vote, and others.
+SHARES = (0.5, 0.25, 0.25)
+
+
+def _side(v: int) -> int:
+    return 2 if v == 0 else 1 if v == NEAR else 0
+
+
 def _votes(sample: int, docs: int):
-    """For each task the counts of its vote patterns, with the sentences of the lowest hashes, half with votes. They are drawn
+    """For each task the counts of its vote patterns, with the sentences of the lowest hashes by ``SHARES``. They are drawn
     from documents chosen by hash, of which there are so few that all tasks together keep some hundred thousand."""
     most = 1 << 64
-    spoken_below, silent_below = (int(most * min(1.0, k * sample / max(1, docs))) for k in (10, 0.5))
+    below = [int(most * min(1.0, k * sample / max(1, docs))) for k in (10, 2, 0.5)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voters = Voters()
         counts: Counter[int] = Counter()
-        kept: tuple[dict, dict] = ({}, {})
-        limit = [1 << 63, 1 << 63]
+        kept: tuple[dict, ...] = ({}, {}, {})
+        limit = [1 << 63] * 3
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 of_text = xxhash.xxh64_intdigest(text)
                 for s in sentences(fold(text)):
                     v = voters.vote(s)
                     counts[v] += 1
-                    side = 0 if v else 1
-                    if of_text >= (silent_below if side else spoken_below):
+                    side = _side(v)
+                    if of_text >= below[side]:
                         continue
                     h = xxhash.xxh64_intdigest(s) >> 1
                     if h < limit[side]:
@@ -452,8 +465,8 @@ def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> tuple[
     counts = {r["v"]: r["n"] for r in seen.where("n > 0").groupBy("v").agg(F.sum("n").alias("n")).collect()}
     post = label_model(counts)
     drawn = seen.where("n = 0").select("h", "s", "v").distinct()
-    half = sample // 2
-    rows = [*drawn.where("v <> 0").orderBy("h").limit(half).collect(), *drawn.where("v = 0").orderBy("h").limit(half).collect()]
+    sides = (~F.col("v").isin(0, NEAR), F.col("v") == NEAR, F.col("v") == 0)
+    rows = [r for side, share in zip(sides, SHARES) for r in drawn.where(side).orderBy("h").limit(int(sample * share)).collect()]
     return learn([(r["h"], r["s"], r["v"]) for r in rows], post), post
 
 

@@ -35,7 +35,7 @@ def test_voters_hear_disguises():
     assert v.vote("a plain sentence about caches") == 0
     assert v.vote("he is an idiotically") & 1 == 0 and v.vote("two idiots") & 1
     # a word of one language does not speak by the pronouns of another
-    assert v.vote("you may rename the gros column") == 0
+    assert v.vote("you may rename the gros column") == A.NEAR
 
 
 def test_no_fragment_is_lost():
