@@ -1,13 +1,15 @@
 """References to records that do not exist.
 
-Method: a skew-aware split. References are aggregated by key and period first; the keys that many rows refer to
-are looked up in a broadcast of at most ``MAX_HEAVY`` rows, the others by a shuffle join on the key; the
-unresolved rows of both sides are united.
+Method: a skew-aware split. References are aggregated by key and period (calendar month) first, with the first and the
+last time of each group; from there on only groups meet the records. The keys that many rows refer to (at most
+``MAX_HEAVY``) are checked by broadcast, the groups of all others by a shuffle join. A record has a life of one or more
+intervals ``[start, end)``; those of a key are merged into spans that do not touch. A group is settled as a whole if one
+span holds all its times (none is an orphan) or none meets them (all are). Only in the groups that remain, which a span
+begins or ends in, single rows are compared with the spans of their key and period. Orphans of both sides are united; the
+report adds up the groups' counts, the list of orphans looks up each row's group.
 
-A record has a life of one or more intervals ``[start, end)``. Keys whose referred records are all open-ended are
-settled by comparing with the earliest start. What remains (keys with a closed interval) is settled by an as-of
-search split by key *and day*: within a day by a running maximum of ends, across days by the maximum end of
-earlier days. No task therefore holds more than one key's single day, and no interval list is collected.
+Spans are merged by running maxima within (key, day) and over the days' maxima, so that no task holds a key's whole
+history; repeated starts collapse before.
 
 Defined results: a null or blank reference (after trimming, for titles) is none; a null time or a null namespace
 resolves only against the standing names; a record without a start never lives; an interval that ends before it
@@ -18,12 +20,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from notelake.functions.text import trimmed
-from notelake.session import broadcast_bounded
+from notelake.session import broadcast_bounded, cut
 from notelake.sources.tables import table
 
 #: A key with at least this many references in the whole input is heavy ...
@@ -87,71 +89,146 @@ def lives(notes: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, under).where("start is not null and space is not null and name is not null")
 
 
+def period(at: str = "at") -> Column:
+    return F.date_trunc("month", at)
+
+
 def by_key_and_period(refs: DataFrame) -> DataFrame:
-    """References counted by key and calendar month: the pre-aggregation both the split and the report start from."""
-    return refs.groupBy(*KEY, F.date_trunc("month", "at").alias("period")).agg(F.count("*").alias("n"))
+    """``src, kind, space, name, period, n, lo, hi``: references counted by key and calendar month, with their first and last
+    time: the pre-aggregation that the split, the check and the report start from."""
+    return refs.groupBy("src", *KEY, period().alias("period")).agg(F.count("*").alias("n"), F.min("at").alias("lo"), F.max("at").alias("hi"))
 
 
-def heavy_keys(refs: DataFrame, heavy_rows: int = HEAVY_ROWS, max_heavy: int = MAX_HEAVY) -> DataFrame:
+def heavy_keys(groups: DataFrame, heavy_rows: int = HEAVY_ROWS, max_heavy: int = MAX_HEAVY) -> DataFrame:
     """The keys with at least ``heavy_rows`` references, the ``max_heavy`` most frequent of them, as a local table."""
-    top = by_key_and_period(refs).groupBy(*KEY).agg(F.sum("n").alias("n")).where(F.col("n") >= heavy_rows)
+    top = groups.groupBy(*KEY).agg(F.sum("n").alias("n")).where(F.col("n") >= heavy_rows)
     top = top.where("space is not null").orderBy(F.desc("n"), *KEY).limit(max_heavy).select(*KEY)
-    spark = refs.sparkSession
-    return spark.createDataFrame([tuple(r) for r in top.collect()], T.StructType([T.StructField(c, T.StringType()) for c in KEY]))
-
-
-def _as_of(refs: DataFrame, closed: DataFrame) -> DataFrame:
-    """Rows of ``refs`` whose time lies in no interval of ``closed`` with the same key."""
-    day = F.date_trunc("day", "at").alias("_day")
-    rows = refs.withColumn("_ref", F.lit(True)).withColumn("_end", F.lit(None).cast("timestamp"))
-    ends = closed.select(*KEY, F.col("start").alias("at"), F.col("end").alias("_end"), F.lit(False).alias("_ref"))
-    both = rows.unionByName(ends, allowMissingColumns=True).select("*", day)
-    days = both.groupBy(*KEY, "_day").agg(F.max("_end").alias("_latest"))
-    earlier = Window.partitionBy(*KEY).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
-    days = days.select(*KEY, "_day", F.max("_latest").over(earlier).alias("_carry"))
-    # an interval that starts at the very time of a reference holds it, so intervals sort first
-    within = Window.partitionBy(*KEY, "_day").orderBy("at", "_ref").rowsBetween(Window.unboundedPreceding, 0)
-    run = both.withColumn("_run", F.max("_end").over(within)).where("_ref")
-    held = F.greatest("_run", "_carry") > F.col("at")
-    return run.join(days, [*KEY, "_day"]).where(~F.coalesce(held, F.lit(False))).select(*refs.columns)
-
-
-def unresolved(
-    refs: DataFrame, alive: DataFrame, standing: DataFrame, heavy_rows: int = HEAVY_ROWS, max_heavy: int = MAX_HEAVY
-) -> DataFrame:
+    return groups.sparkSession.createDataFrame([tuple(r) for r in top.collect()], T.StructType([T.StructField(c, T.StringType()) for c in KEY]))
+
+
+def _merged(alive: DataFrame) -> DataFrame:
+    """The intervals of each key merged where they overlap or touch."""
+    last = F.lit("9999-12-31 00:00:00").cast("timestamp")
+    ends = alive.groupBy(*KEY, "start").agg(F.max(F.coalesce("end", last)).alias("end")).withColumn("day", F.date_trunc("day", "start"))
+    days = ends.groupBy(*KEY, "day").agg(F.max("end").alias("latest"))
+    over_days = Window.partitionBy(*KEY).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.select(*KEY, "day", F.max("latest").over(over_days).alias("carry"), F.max("latest").over(Window.partitionBy(*KEY)).alias("final"))
+    within = Window.partitionBy(*KEY, "day").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    held = ends.withColumn("run", F.max("end").over(within)).join(days, [*KEY, "day"]).withColumn("held", F.greatest("run", "carry"))
+    # an island begins where nothing before reaches; what was held there is the end of the island before
+    islands = held.where(F.col("held").isNull() | (F.col("start") > F.col("held")))
+    end = F.coalesce(F.lead("held").over(Window.partitionBy(*KEY).orderBy("start")), "final")
+    return islands.select(*KEY, "start", F.nullif(end, last).alias("end"))
+
+
+def spans(alive: DataFrame) -> DataFrame:
+    """``kind, space, name, start, end``: the merged life of each key, of one or more intervals. Most keys have one note or only
+    notes that still live, and need no merging."""
+    some = alive.where("end is null or end > start")
+    open_ = F.min(F.when(F.col("end").isNull(), F.col("start")))
+    per = some.groupBy(*KEY).agg(F.count("*").alias("c"), F.min("start").alias("first"), F.max("end").alias("last"), open_.alias("open"))
+    plain = (F.col("c") == 1) | F.coalesce(F.col("open") == F.col("first"), F.lit(False))
+    one = per.where(plain).select(*KEY, F.col("first").alias("start"), F.when(F.col("open").isNull(), F.col("last")).alias("end"))
+    return one.unionByName(_merged(some.join(broadcast_bounded(per.where(~plain).select(*KEY)), KEY, "left_semi")))
+
+
+def _meet(groups: DataFrame, lives_: DataFrame, how: str) -> DataFrame:
+    """Groups with the spans of their key that meet their times."""
+    k = lives_.select(*[F.col(c).alias(f"_{c}") for c in KEY], "start", "end")
+    same = reduce(lambda x, y: x & y, [F.col(c) == F.col(f"_{c}") for c in KEY])
+    return groups.join(k, same & (F.col("start") <= F.col("hi")) & (F.col("end").isNull() | (F.col("end") > F.col("lo"))), how).drop(*[f"_{c}" for c in KEY])
+
+
+GROUP = ["src", *KEY, "period"]
+
+
+def settle(groups: DataFrame, lives_: DataFrame) -> DataFrame:
+    """``src, kind, space, name, period, n, lo, hi, lost`` of the groups with orphans: ``lost`` is true where all are, false where
+    single rows must be looked at."""
+    met = _meet(groups, lives_, "left")
+    holds = (F.col("start") <= F.col("lo")) & (F.col("end").isNull() | (F.col("end") > F.col("hi")))
+    told = met.groupBy(*GROUP, "n", "lo", "hi").agg(F.max(F.coalesce(holds, F.lit(False))).alias("held"), F.max(F.col("start").isNotNull()).alias("met"))
+    return told.where("not held").select(*GROUP, "n", "lo", "hi", (~F.col("met")).alias("lost"))
+
+
+class Split:
+    """The references in groups, checked: ``groups``, and of heavy and other keys the ``verdicts`` and the ``pieces`` of spans in the
+    groups that single rows decide."""
+
+    def __init__(self, refs: DataFrame, alive: DataFrame, standing: DataFrame, heavy_rows: int = HEAVY_ROWS, max_heavy: int = MAX_HEAVY) -> None:
+        names = standing.select(F.col("name"), F.lit("title").alias("kind")).where("name is not null").distinct()
+        self.standing = broadcast_bounded(names)
+        self.groups = cut(by_key_and_period(refs))
+        open_ = self.groups.join(self.standing, ["kind", "name"], "left_anti").select(*self.groups.columns)
+        self.heavy = F.broadcast(heavy_keys(open_, heavy_rows, max_heavy))
+        lives_ = cut(spans(alive))
+        of_heavy = broadcast_bounded(lives_.join(self.heavy, KEY, "left_semi"))
+        hot = settle(open_.join(self.heavy, KEY, "left_semi"), of_heavy)
+        cold = settle(open_.join(self.heavy, KEY, "left_anti"), lives_)
+        self.verdicts = {"hot": cut(hot), "cold": cut(cold)}
+        self.pieces = {side: _meet(v.where("not lost"), of_heavy if side == "hot" else lives_, "inner").select(*GROUP, "start", "end") for side, v in self.verdicts.items()}
+
+    def of(self, rows: DataFrame, side: str) -> DataFrame:
+        return rows.join(self.heavy, KEY, "left_semi" if side == "hot" else "left_anti")
+
+    def lone(self, rows: DataFrame, side: str) -> DataFrame:
+        """Of rows of groups that are not settled (with ``period``) those that no span holds."""
+        p = self.pieces[side].select(*[F.col(c).alias(f"_{c}") for c in GROUP], "start", "end")
+        same = reduce(lambda x, y: x & y, [F.col(c) == F.col(f"_{c}") for c in GROUP])
+        return rows.join(broadcast_bounded(p) if side == "hot" else p, same & (F.col("start") <= F.col("at")) & (F.col("end").isNull() | (F.col("end") > F.col("at"))), "left_anti")
+
+
+def unresolved(refs: DataFrame, alive: DataFrame, standing: DataFrame, heavy_rows: int = HEAVY_ROWS, max_heavy: int = MAX_HEAVY) -> DataFrame:
     """The rows of ``refs`` that resolve neither to a name of ``standing`` (column ``name``, for kind ``title``, valid in every
     namespace at all times) nor to an interval of ``alive`` that holds their time."""
-    names = standing.select(F.col("name"), F.lit("title").alias("kind")).where("name is not null").distinct()
-    open_refs = refs.join(broadcast_bounded(names), ["kind", "name"], "left_anti").select(*refs.columns)
-    first = alive.groupBy(*KEY).agg(F.min(F.when(F.col("end").isNull(), F.col("start"))).alias("_from"), F.max(F.col("end").isNotNull()).alias("_closed"))
-    heavy = heavy_keys(open_refs, heavy_rows, max_heavy)
-    hot = open_refs.join(F.broadcast(heavy), KEY, "left_semi").join(F.broadcast(first.join(F.broadcast(heavy), KEY, "left_semi")), KEY, "left")
-    cold = open_refs.join(F.broadcast(heavy), KEY, "left_anti").join(first, KEY, "left")
-    looked = hot.unionByName(cold).where(~F.coalesce(F.col("at") >= F.col("_from"), F.lit(False)))
-    may = F.coalesce(F.col("_closed"), F.lit(False)) & F.col("at").isNotNull()
-    never = looked.where(~may).select(*refs.columns)
-    return never.unionByName(_as_of(looked.where(may).select(*refs.columns), alive.where("end is not null and end > start")))
+    split = Split(refs, alive, standing, heavy_rows, max_heavy)
+    rows = refs.join(split.standing, ["kind", "name"], "left_anti").select(*refs.columns)
+    dated = F.col("at").isNotNull() & F.col("space").isNotNull()
+    out = [rows.where(~dated)]
+    for side, verdicts in split.verdicts.items():
+        told = verdicts.select(*GROUP, "lost")
+        mine = split.of(rows.where(dated), side).withColumn("period", period())
+        mine = mine.join(broadcast_bounded(told) if side == "hot" else told, GROUP)
+        out += [mine.where("lost").select(*refs.columns), split.lone(mine.where("not lost"), side).select(*refs.columns)]
+    return reduce(DataFrame.unionByName, out)
+
+
+def orphan_counts(refs: DataFrame, alive: DataFrame, standing: DataFrame, heavy_rows: int = HEAVY_ROWS, max_heavy: int = MAX_HEAVY) -> DataFrame:
+    """``src, period, refs, orphans``: counts of the groups added up; rows are read again only for groups that are not settled."""
+    split = Split(refs, alive, standing, heavy_rows, max_heavy)
+    none = F.lit(0).cast("long")
+    parts = [split.groups.select("src", "period", F.col("n").alias("refs"), none.alias("orphans"))]
+    for side, verdicts in split.verdicts.items():
+        parts.append(verdicts.where("lost").select("src", "period", none.alias("refs"), F.col("n").alias("orphans")))
+        rows = split.of(refs.where("at is not null"), side).withColumn("period", period()).join(broadcast_bounded(verdicts.where("not lost").select(*GROUP)), GROUP, "left_semi")
+        parts.append(split.lone(rows, side).select("src", "period", none.alias("refs"), F.lit(1).cast("long").alias("orphans")))
+    return reduce(DataFrame.unionByName, parts).groupBy("src", "period").agg(F.sum("refs").alias("refs"), F.sum("orphans").alias("orphans"))
+
+
+# The tables by number, and ``ref`` only where it is not ``name``: what is shuffled stays narrow.
+_SOURCES = ("wiki_links.target", "note_updates.targets", "note_updates.key")
 
 
 def _inputs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     updates = table(spark, folder, "note_updates")
     refs = title_references(table(spark, folder, "wiki_links"), updates, table(spark, folder, "vaults")).unionByName(key_references(updates))
+    code = F.when(F.col("src") == _SOURCES[0], 0).when(F.col("src") == _SOURCES[1], 1).otherwise(2).cast("tinyint")
+    refs = refs.withColumn("src", code).withColumn("ref", F.when(F.col("ref") != F.col("name"), F.col("ref")))
     return refs, lives(table(spark, folder, "notes")), table(spark, folder, "topics").select(F.col("title").alias("name"))
 
 
+def _source() -> Column:
+    return F.element_at(F.array(*map(F.lit, _SOURCES)), F.col("src") + 1).alias("src")
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """One row for each reference that does not resolve."""
-    return unresolved(*_inputs(spark, folder)).select("src", "rec_id", "ref")
+    return unresolved(*_inputs(spark, folder)).select(_source(), "rec_id", F.coalesce("ref", "name").alias("ref"))
 
 
 def p3_report(spark: SparkSession, folder: str) -> DataFrame:
     """References and orphans among them per table and calendar month."""
-    refs, alive, standing = _inputs(spark, folder)
-    month = F.date_format("at", "yyyy-MM").alias("month")
-    total = refs.groupBy("src", month).agg(F.count("*").alias("refs"))
-    lost = unresolved(refs, alive, standing).groupBy("src", month).agg(F.count("*").alias("orphans"))
-    both = total.withColumn("orphans", F.lit(0).cast("long")).unionByName(lost.withColumn("refs", F.lit(0).cast("long")))
-    return both.groupBy("src", "month").agg(F.sum("refs").alias("refs"), F.sum("orphans").alias("orphans"))
+    return orphan_counts(*_inputs(spark, folder)).select(_source(), F.date_format("period", "yyyy-MM").alias("month"), "refs", "orphans")
 
 
 _WS = "chr(9)||chr(10)||chr(11)||chr(12)||chr(13)||chr(32)||chr(133)||chr(160)||chr(5760)||" + "||".join(f"chr({c})" for c in [*range(8192, 8203), 8232, 8233, 8239, 8287, 12288])

@@ -81,4 +81,30 @@ def test_split_does_not_change_results(spark, heavy_rows):
 
 def test_no_broadcast_of_growing_sides(spark, save):
     df = R.unresolved(*R._inputs(spark, save(**tables(notes=[("a", "k.md", "k", T0, None)], links=[(1, "a", "k", "z", T0)]))))
-    assert df.select("src").where(F.col("src") == "x").count() == 0
+    assert df.select("src").where(F.col("src") == 9).count() == 0
+
+
+def test_spans(spark):
+    """Merged lives hold exactly the times that the single ones hold."""
+    import random
+
+    rng = random.Random(9)
+    rows = [("title", "a", rng.choice("pqr"), T0 + timedelta(hours=(m := rng.randrange(400))), rng.choice([None, *[T0 + timedelta(hours=m + rng.randrange(-3, 30))] * 9])) for _ in range(90)]
+    made = R.spans(spark.createDataFrame(rows, "kind string, space string, name string, start timestamp, end timestamp")).collect()
+    for name in "pqr":
+        mine = sorted((r["start"], r["end"] or datetime(9999, 1, 1)) for r in made if r["name"] == name)
+        assert all(a[1] < b[0] for a, b in zip(mine, mine[1:]))
+        for k in range(-2, 450):
+            at = T0 + timedelta(hours=k)
+            assert any(s <= at < e for s, e in mine) == any(x[2] == name and x[3] <= at and (x[4] is None or at < x[4]) for x in rows)
+
+
+@pytest.mark.parametrize("heavy_rows", [1, 10**9])
+def test_report_adds_up_to_the_rows(spark, save, heavy_rows):
+    notes = [("a", f"n{k}.md", f"n{k % 5}", T0 + k * 20 * H, T0 + k * 20 * H + 9 * H if k % 3 else None) for k in range(12)]
+    links = [(k, "a", "k", f"n{k % 7}", T0 + k * 7 * H) for k in range(200)] + [(900, None, "k", "n1", T0), (901, "a", "k", "n1", None)]
+    refs, alive, standing = R._inputs(spark, save(**tables(notes=notes, links=links)))
+    counts = {(r["src"], r["period"]): (r["refs"], r["orphans"]) for r in R.orphan_counts(refs, alive, standing, heavy_rows).collect()}
+    lost = R.unresolved(refs, alive, standing, heavy_rows).groupBy("src", R.period().alias("period")).count().collect()
+    assert {(r["src"], r["period"]): r["count"] for r in lost} == {k: o for k, (_, o) in counts.items() if o}
+    assert sum(n for n, _ in counts.values()) == 202
