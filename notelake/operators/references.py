@@ -33,7 +33,9 @@ HEAVY_ROWS = 2_000
 #: ... and of those the most frequent, at most so many, are broadcast; the rest take the shuffle, which is exact too.
 MAX_HEAVY = 1_000
 
-KEY = ["kind", "space", "name"]
+#: What a reference and a record are matched by: a hash of 128 bits of kind, namespace and name (null without a namespace),
+#: so that names are not carried through the shuffles. Two of 10^11 different keys share one with a probability of 10^-17.
+KEY = ["k1", "k2"]
 
 
 def namespaced(ref: DataFrame, spaces: DataFrame) -> DataFrame:
@@ -89,21 +91,29 @@ def lives(notes: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, under).where("start is not null and space is not null and name is not null")
 
 
+def keyed(df: DataFrame) -> DataFrame:
+    """``df`` (``kind, space, name``) with its key."""
+    known = F.col("space").isNotNull() & F.col("name").isNotNull()
+    return df.withColumn("k1", F.when(known, F.xxhash64("kind", "space", "name"))).withColumn("k2", F.when(known, F.xxhash64(F.lit(1), "name", "space", "kind")))
+
+
 def period(at: str = "at") -> Column:
     return F.date_trunc("month", at)
 
 
-def by_key_and_period(refs: DataFrame) -> DataFrame:
-    """``src, kind, space, name, period, n, lo, hi``: references counted by key and calendar month, with their first and last
-    time: the pre-aggregation that the split, the check and the report start from."""
-    return refs.groupBy("src", *KEY, period().alias("period")).agg(F.count("*").alias("n"), F.min("at").alias("lo"), F.max("at").alias("hi"))
+def by_key_and_period(refs: DataFrame, standing: DataFrame) -> DataFrame:
+    """``src, k1, k2, period, standing, n, lo, hi``: references counted by key and calendar month, with their first and last time:
+    the pre-aggregation that the split, the check and the report start from. Those to standing names make one group."""
+    known = refs.join(standing.withColumn("standing", F.lit(True)), ["kind", "name"], "left").withColumn("standing", F.coalesce("standing", F.lit(False)))
+    made = keyed(known).select("src", "at", period().alias("period"), "standing", *[F.when(~F.col("standing"), F.col(k)).alias(k) for k in KEY])
+    return made.groupBy("src", *KEY, "period", "standing").agg(F.count("*").alias("n"), F.min("at").alias("lo"), F.max("at").alias("hi"))
 
 
 def heavy_keys(groups: DataFrame, heavy_rows: int = HEAVY_ROWS, max_heavy: int = MAX_HEAVY) -> DataFrame:
     """The keys with at least ``heavy_rows`` references, the ``max_heavy`` most frequent of them, as a local table."""
     top = groups.groupBy(*KEY).agg(F.sum("n").alias("n")).where(F.col("n") >= heavy_rows)
-    top = top.where("space is not null").orderBy(F.desc("n"), *KEY).limit(max_heavy).select(*KEY)
-    return groups.sparkSession.createDataFrame([tuple(r) for r in top.collect()], T.StructType([T.StructField(c, T.StringType()) for c in KEY]))
+    top = top.orderBy(F.desc("n"), *KEY).limit(max_heavy).select(*KEY)
+    return groups.sparkSession.createDataFrame([tuple(r) for r in top.collect()], T.StructType([T.StructField(c, T.LongType()) for c in KEY]))
 
 
 def _merged(alive: DataFrame) -> DataFrame:
@@ -122,9 +132,9 @@ def _merged(alive: DataFrame) -> DataFrame:
 
 
 def spans(alive: DataFrame) -> DataFrame:
-    """``kind, space, name, start, end``: the merged life of each key, of one or more intervals. Most keys have one note or only
-    notes that still live, and need no merging."""
-    some = alive.where("end is null or end > start")
+    """``k1, k2, start, end``: the merged life of each key, of one or more intervals. Most keys have one note or only notes that
+    still live, and need no merging."""
+    some = keyed(alive.where("end is null or end > start")).select(*KEY, "start", "end")
     open_ = F.min(F.when(F.col("end").isNull(), F.col("start")))
     per = some.groupBy(*KEY).agg(F.count("*").alias("c"), F.min("start").alias("first"), F.max("end").alias("last"), open_.alias("open"))
     plain = (F.col("c") == 1) | F.coalesce(F.col("open") == F.col("first"), F.lit(False))
@@ -143,7 +153,7 @@ GROUP = ["src", *KEY, "period"]
 
 
 def settle(groups: DataFrame, lives_: DataFrame) -> DataFrame:
-    """``src, kind, space, name, period, n, lo, hi, lost`` of the groups with orphans: ``lost`` is true where all are, false where
+    """``src, k1, k2, period, n, lo, hi, lost`` of the groups with orphans: ``lost`` is true where all are, false where
     single rows must be looked at."""
     met = _meet(groups, lives_, "left")
     holds = (F.col("start") <= F.col("lo")) & (F.col("end").isNull() | (F.col("end") > F.col("hi")))
@@ -158,8 +168,8 @@ class Split:
     def __init__(self, refs: DataFrame, alive: DataFrame, standing: DataFrame, heavy_rows: int = HEAVY_ROWS, max_heavy: int = MAX_HEAVY) -> None:
         names = standing.select(F.col("name"), F.lit("title").alias("kind")).where("name is not null").distinct()
         self.standing = broadcast_bounded(names)
-        self.groups = cut(by_key_and_period(refs))
-        open_ = self.groups.join(self.standing, ["kind", "name"], "left_anti").select(*self.groups.columns)
+        self.groups = cut(by_key_and_period(refs, self.standing))
+        open_ = self.groups.where("not standing and k1 is not null and period is not null").drop("standing")
         self.heavy = F.broadcast(heavy_keys(open_, heavy_rows, max_heavy))
         lives_ = cut(spans(alive))
         of_heavy = broadcast_bounded(lives_.join(self.heavy, KEY, "left_semi"))
@@ -182,9 +192,9 @@ def unresolved(refs: DataFrame, alive: DataFrame, standing: DataFrame, heavy_row
     """The rows of ``refs`` that resolve neither to a name of ``standing`` (column ``name``, for kind ``title``, valid in every
     namespace at all times) nor to an interval of ``alive`` that holds their time."""
     split = Split(refs, alive, standing, heavy_rows, max_heavy)
-    rows = refs.join(split.standing, ["kind", "name"], "left_anti").select(*refs.columns)
-    dated = F.col("at").isNotNull() & F.col("space").isNotNull()
-    out = [rows.where(~dated)]
+    rows = keyed(refs.join(split.standing, ["kind", "name"], "left_anti"))
+    dated = F.col("at").isNotNull() & F.col("k1").isNotNull()
+    out = [rows.where(~dated).select(*refs.columns)]
     for side, verdicts in split.verdicts.items():
         told = verdicts.select(*GROUP, "lost")
         mine = split.of(rows.where(dated), side).withColumn("period", period())
@@ -197,10 +207,11 @@ def orphan_counts(refs: DataFrame, alive: DataFrame, standing: DataFrame, heavy_
     """``src, period, refs, orphans``: counts of the groups added up; rows are read again only for groups that are not settled."""
     split = Split(refs, alive, standing, heavy_rows, max_heavy)
     none = F.lit(0).cast("long")
-    parts = [split.groups.select("src", "period", F.col("n").alias("refs"), none.alias("orphans"))]
+    never = ~F.col("standing") & (F.col("k1").isNull() | F.col("period").isNull())
+    parts = [split.groups.select("src", "period", F.col("n").alias("refs"), F.when(never, F.col("n")).otherwise(none).alias("orphans"))]
     for side, verdicts in split.verdicts.items():
         parts.append(verdicts.where("lost").select("src", "period", none.alias("refs"), F.col("n").alias("orphans")))
-        rows = split.of(refs.where("at is not null"), side).withColumn("period", period()).join(broadcast_bounded(verdicts.where("not lost").select(*GROUP)), GROUP, "left_semi")
+        rows = split.of(keyed(refs.where("at is not null")), side).withColumn("period", period()).join(broadcast_bounded(verdicts.where("not lost").select(*GROUP)), GROUP, "left_semi")
         parts.append(split.lone(rows, side).select("src", "period", none.alias("refs"), F.lit(1).cast("long").alias("orphans")))
     return reduce(DataFrame.unionByName, parts).groupBy("src", "period").agg(F.sum("refs").alias("refs"), F.sum("orphans").alias("orphans"))
 

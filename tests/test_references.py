@@ -90,7 +90,9 @@ def test_spans(spark):
 
     rng = random.Random(9)
     rows = [("title", "a", rng.choice("pqr"), T0 + timedelta(hours=(m := rng.randrange(400))), rng.choice([None, *[T0 + timedelta(hours=m + rng.randrange(-3, 30))] * 9])) for _ in range(90)]
-    made = R.spans(spark.createDataFrame(rows, "kind string, space string, name string, start timestamp, end timestamp")).collect()
+    made = R.spans(spark.createDataFrame(rows, "kind string, space string, name string, start timestamp, end timestamp"))
+    names = R.keyed(spark.createDataFrame([("title", "a", n) for n in "pqr"], "kind string, space string, name string"))
+    made = made.join(names, R.KEY).collect()
     for name in "pqr":
         mine = sorted((r["start"], r["end"] or datetime(9999, 1, 1)) for r in made if r["name"] == name)
         assert all(a[1] < b[0] for a, b in zip(mine, mine[1:]))
