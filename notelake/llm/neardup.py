@@ -4,18 +4,21 @@ Method: multi-index hashing. The fingerprint of a text is a string of ``SEGMENTS
 from the minimum of one hash function over the text's runs of three words, so the share of equal symbols estimates the share
 of equal runs. In each segment the Hamming ball of radius 1 is enumerated (one key for each masked symbol); texts
 that share a key in a segment's table are fetched, their complete Hamming distance is verified, and the exact share
-of equal runs decides. At a similarity of 0.6 a pair shares a ball in one of 8 segments of 4 with probability 0.994,
-at 0.7 with 0.9998.
+of equal runs decides. A pair must share a ball in one of 8 segments of 4 and differ in at most 20 of 32 symbols: at a
+similarity of 0.6 both hold with a probability of 0.9926, at 0.65 of 0.9985, at 0.7 of 0.9998.
 
 Texts with equal sets of runs are one class; only its smallest member enters the tables, so copies cost nothing
 whatever their number. A bucket of over ``BUCKET`` texts is not joined with itself but compared in blocks of that
 size, of which each task holds two: all its pairs are looked at, only those within the distance leave the task.
+Keys that many texts share are told from the texts whose hash is divisible by ``DRAWN`` before anything is shuffled. They
+never meet in one task: their texts are posted again under the key and each of so many further symbols that two texts
+within the distance must have one of them in common, which loses nothing and parts the texts that are not alike.
 
 Defined results: words are maximal runs of letters and digits, lower-cased; texts of fewer than ``MIN_WORDS`` words,
 null and blank ones belong to no pair; texts of any length are read whole; rows repeated under one key are one
-record; ties go to the smaller key by bytes. Of classes with up to ``EXPAND`` members all pairs are given; larger
-ones appear by the pairs of their smallest member with each other member and with the smallest members of other
-classes, so that no link between different texts and no membership is lost.
+record; ties go to the smaller key by bytes. Of classes with up to ``EXPAND`` members all pairs are given. In larger ones
+exact copies of a text appear by their pair with its smallest bearer, and these bearers in all pairs with one another and
+with those of linked classes, so that no link between different texts and no membership is lost.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from notelake.session import cut
+from notelake.session import broadcast_bounded, cut
 from notelake.sources.tables import table
 
 MIN_WORDS = 20
@@ -41,6 +44,8 @@ SEGMENTS, WIDTH = 8, 4
 SYMBOLS = SEGMENTS * WIDTH
 BUCKET = 256
 EXPAND = 64
+#: One in so many texts tells which keys are hot: those of at least ``BUCKET`` of the texts drawn.
+DRAWN = 64
 
 _WORD = re.compile(r"[^\W_]+")
 _RNG = np.random.default_rng(20240131)
@@ -90,25 +95,28 @@ def _digest(hashes: np.ndarray) -> bytes:
 
 
 def signatures(items: DataFrame, key_cols: list[str], text_col: str, min_words: int = MIN_WORDS) -> DataFrame:
-    """The key columns, ``digest`` of the set of runs and ``fp`` (packed symbols) of each text long enough."""
+    """The key columns, ``digest`` of the set of runs, ``fp`` (packed symbols) and ``exact`` (hash of the whole text) of each text
+    long enough."""
     slim = items.select(*key_cols, items[text_col].alias("_text_")).where("_text_ is not null")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema[: len(key_cols)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, digests, fps = [], [], []
+            rows, digests, fps, exact = [], [], [], []
             for k, text in enumerate(batch.column(len(key_cols))):
-                found = runs(text.as_py(), min_words)
+                whole = text.as_py()
+                found = runs(whole, min_words)
                 if found is None:
                     continue
                 rows.append(k)
                 digests.append(_digest(found))
                 fps.append(fingerprint(found).tobytes())
-            own = [pa.array(digests, type=pa.binary()), pa.array(fps, type=pa.binary())]
+                exact.append(xxhash.xxh3_64_intdigest(whole) - (1 << 63))
+            own = [pa.array(digests, type=pa.binary()), pa.array(fps, type=pa.binary()), pa.array(exact, type=pa.int64())]
             kept = [batch.column(k).take(pa.array(rows, type=pa.int32())) for k in range(len(key_cols))]
-            yield pa.RecordBatch.from_arrays([*kept, *own], names=[*key_cols, "digest", "fp"])
+            yield pa.RecordBatch.from_arrays([*kept, *own], names=[*key_cols, "digest", "fp", "exact"])
 
-    return slim.mapInArrow(run, f"{fields}, digest binary, fp binary")
+    return slim.mapInArrow(run, f"{fields}, digest binary, fp binary, exact bigint")
 
 
 def _block_pairs(max_distance: int):
@@ -130,12 +138,13 @@ def _block_pairs(max_distance: int):
 
 
 def _post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``cid`` (first 8 bytes of the digest) and each key of ``digest, fp``."""
+    """``cid`` (first 8 bytes of the digest) and each key of ``digest, fp``, with its place among them."""
     for batch in batches:
         n = batch.num_rows
         fps = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype="<u2").reshape(n, SYMBOLS)
         cid = np.array([int.from_bytes(d[:8], "big", signed=True) for d in batch.column(0).to_pylist()], dtype=np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(cid, SYMBOLS)), pa.array(_mask_keys(fps).view(np.int64).ravel())], names=["cid", "k"])
+        place = pa.array(np.tile(np.arange(SYMBOLS, dtype=np.int32), n))
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(cid, SYMBOLS)), pa.array(_mask_keys(fps).view(np.int64).ravel()), place], names=["cid", "k", "place"])
 
 
 def _within(max_distance: int):
@@ -150,16 +159,11 @@ def _within(max_distance: int):
     return run
 
 
-def candidate_pairs(classes: DataFrame, max_distance: int, bucket: int = BUCKET) -> DataFrame:
-    """Pairs ``a < b`` of the digests of ``classes`` (``digest, fp``) that share a key and lie within the distance.
-
-    Keys are posted under 8 bytes of the digest; should two digests share these, each is fetched and verified."""
-    posted = classes.select("digest", "fp").mapInArrow(_post, "cid bigint, k bigint")
-    posted = posted.withColumn("n", F.count("*").over(Window.partitionBy("k"))).where("n > 1")
+def _bucket_pairs(posted: DataFrame, fps: DataFrame, max_distance: int, bucket: int) -> DataFrame:
+    """Pairs ``a < b`` of digests within the distance among the texts of each key of ``posted`` (``cid, k, n``: the key's texts)."""
     small = posted.where(F.col("n") <= bucket).select("k", "cid")
     pairs = small.alias("x").join(small.alias("y"), (F.col("x.k") == F.col("y.k")) & (F.col("x.cid") < F.col("y.cid")))
     pairs = pairs.select(F.col("x.cid").alias("ca"), F.col("y.cid").alias("cb")).distinct()
-    fps = classes.select("digest", "fp", F.conv(F.substring(F.hex("digest"), 1, 16), 16, -10).cast("bigint").alias("cid"))
     pairs = pairs.join(fps.select(F.col("cid").alias("ca"), F.col("digest").alias("a"), F.col("fp").alias("fa")), "ca")
     pairs = pairs.join(fps.select(F.col("cid").alias("cb"), F.col("digest").alias("b"), F.col("fp").alias("fb")), "cb")
     near = pairs.select("a", "fa", "b", "fb").mapInArrow(_within(max_distance), "a binary, b binary").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
@@ -171,8 +175,30 @@ def candidate_pairs(classes: DataFrame, max_distance: int, bucket: int = BUCKET)
     sides = large.select("k", "digest", "fp", F.col("block").alias("i"), others.alias("j"), F.lit(0).alias("side")).unionByName(
         large.select("k", "digest", "fp", F.col("block").alias("j"), others.alias("i"), F.lit(1).alias("side"))
     )
-    far = sides.groupBy("k", "i", "j").applyInPandas(_block_pairs(max_distance), "a binary, b binary")
-    return near.unionByName(far).distinct()
+    return near.unionByName(sides.groupBy("k", "i", "j").applyInPandas(_block_pairs(max_distance), "a binary, b binary"))
+
+
+def candidate_pairs(classes: DataFrame, max_distance: int, bucket: int = BUCKET, drawn: int = DRAWN) -> DataFrame:
+    """Pairs ``a < b`` of the digests of ``classes`` (``digest, fp``) that share a key and lie within the distance.
+
+    Keys are posted under 8 bytes of the digest; should two digests share these, each is fetched and verified."""
+    fps = classes.select("digest", "fp", F.conv(F.substring(F.hex("digest"), 1, 16), 16, -10).cast("bigint").alias("cid"))
+    # whether a key counts as hot decides only how its texts are compared, never which
+    sample = classes.select("digest", "fp").where(F.pmod(F.xxhash64("digest"), F.lit(drawn)) == 0)
+    hot = cut(sample.mapInArrow(_post, "cid bigint, k bigint, place int").groupBy("k").agg(F.count("*").alias("c")).where(F.col("c") >= bucket).select("k"))
+    posted = classes.select("digest", "fp").mapInArrow(_post, "cid bigint, k bigint, place int")
+    any_hot = hot.limit(1).count() > 0
+    cold = posted.select("cid", "k").join(broadcast_bounded(hot), "k", "left_anti") if any_hot else posted.select("cid", "k")
+    out = _bucket_pairs(cold.withColumn("n", F.count("*").over(Window.partitionBy("k"))).where("n > 1"), fps, max_distance, bucket)
+    if any_hot:
+        # two texts that differ in at most max_distance symbols have one in common among any max_distance + 1 of them
+        others = F.array([F.array([F.lit(p) for p in range(SYMBOLS) if p // WIDTH != g]) for g in range(SEGMENTS)])
+        far = F.slice(F.element_at(others, F.floor(F.col("place") / WIDTH).cast("int") + 1), 1, max_distance + 1)
+        again = posted.join(broadcast_bounded(hot), "k").join(fps, "cid")
+        again = again.select("cid", F.explode(F.transform(far, lambda p: F.xxhash64("k", p, F.substring("fp", p * 2 + 1, 2)))).alias("k")) if max_distance + 1 <= SYMBOLS - WIDTH else again.select("cid", "k")
+        counts = again.groupBy("k").agg(F.count("*").alias("n")).where("n > 1")
+        out = out.unionByName(_bucket_pairs(again.join(counts, "k"), fps, max_distance, bucket))
+    return out.distinct()
 
 
 def _own_texts(min_words: int):
@@ -216,11 +242,11 @@ def _similar(similarity: float, min_words: int):
 
 
 def class_links(items: DataFrame, key_cols: list[str], text_col: str, similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
-    """Members (``digest``, key columns) and links (``a, b, share``) between different classes of equal texts."""
-    # a miss needs over 18 of 32 symbols to differ at the least similarity the caller wants to find
-    max_distance = min(SYMBOLS, int(SYMBOLS * (1 - similarity) + 6))
+    """Members (``digest``, key columns, ``exact``) and links (``a, b, share``) between different classes of equal texts."""
+    # symbols that may differ: as many as at the least similarity on average, and eight (almost three deviations) more
+    max_distance = min(SYMBOLS, int(SYMBOLS * (1 - similarity) + 8))
     signed = cut(signatures(items, key_cols, text_col, min_words))
-    members = signed.select("digest", *key_cols).distinct()
+    members = signed.select("digest", *key_cols, "exact").distinct()
     first = F.struct(*key_cols)
     classes = signed.groupBy("digest").agg(F.min("fp").alias("fp"))
     pairs = cut(candidate_pairs(classes, max_distance))
@@ -240,16 +266,17 @@ def near_pairs(items: DataFrame, key_cols: list[str], text_col: str, similarity:
     """Pairs of records, ``<key>_a`` before ``<key>_b`` by bytes, with their ``share``."""
     members, links = class_links(items, key_cols, text_col, similarity, min_words)
     key = F.struct(*key_cols)
-    sizes = members.groupBy("digest").agg(F.count("*").alias("n"), F.min(key).alias("rep"))
+    texts = members.groupBy("digest", "exact").agg(F.count("*").alias("c"), F.min(key).alias("rep"))
+    sizes = texts.groupBy("digest").agg(F.sum("c").alias("n"))
     linked = links.select(F.col("a").alias("digest")).union(links.select(F.col("b").alias("digest"))).distinct().withColumn("linked", F.lit(True))
-    wanted = sizes.join(linked, "digest", "left").where("n > 1 or linked").select("digest", "n", "rep")
-    placed = members.join(wanted, "digest").withColumn("key", key).withColumn("shown", (F.col("n") <= expand) | (F.col("key") == F.col("rep")))
-    shown = placed.where("shown").select("digest", "key")
-    across = (
-        links.join(shown.select(F.col("digest").alias("a"), F.col("key").alias("x")), "a").join(shown.select(F.col("digest").alias("b"), F.col("key").alias("y")), "b").select("x", "y", "share")
-    )
-    small = placed.where(F.col("n") > 1).where(F.col("n") <= expand).select("digest", "key")
-    same = small.alias("s").join(small.alias("t"), (F.col("s.digest") == F.col("t.digest")) & (F.col("s.key") < F.col("t.key")))
+    wanted = sizes.join(linked, "digest", "left").where("n > 1 or linked").select("digest", "n")
+    placed = members.join(wanted.join(texts.select("digest", "exact", "rep"), "digest"), ["digest", "exact"]).withColumn("key", key)
+    placed = placed.withColumn("shown", (F.col("n") <= expand) | (F.col("key") == F.col("rep")))
+    shown = placed.where("shown").select("digest", "key", "n").distinct()
+    ends = shown.select("digest", "key")
+    across = links.join(ends.select(F.col("digest").alias("a"), F.col("key").alias("x")), "a").join(ends.select(F.col("digest").alias("b"), F.col("key").alias("y")), "b").select("x", "y", "share")
+    several = shown.where("n > 1").select("digest", "key")
+    same = several.alias("s").join(several.alias("t"), (F.col("s.digest") == F.col("t.digest")) & (F.col("s.key") < F.col("t.key")))
     same = same.select(F.col("s.key").alias("x"), F.col("t.key").alias("y"), F.lit(1.0).alias("share"))
     star = placed.where("not shown").select(F.col("rep").alias("x"), F.col("key").alias("y"), F.lit(1.0).alias("share"))
     pairs = across.unionByName(same).unionByName(star).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "share")
@@ -281,6 +308,7 @@ def groups(items: DataFrame, key_cols: list[str], text_col: str, similarity: flo
     other classes its class is linked with."""
     members, links = class_links(items, key_cols, text_col, similarity, min_words)
     links = cut(links)
+    members = members.drop("exact").distinct()
     root = components(links)
     degree = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("links"))
     size = members.groupBy("digest").agg(F.count("*").alias("n"))

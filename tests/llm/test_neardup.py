@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from notelake.llm import neardup as D
@@ -50,9 +51,10 @@ def found(df):
     return {tuple(r)[:4] for r in df.collect()}
 
 
-@pytest.mark.parametrize("bucket", [2, 256])
-def test_against_brute_force(spark, monkeypatch, bucket):
-    monkeypatch.setattr(D.candidate_pairs, "__defaults__", (bucket,))
+@pytest.mark.parametrize("bucket, drawn", [(2, 10**9), (256, 64), (2, 1)])
+def test_against_brute_force(spark, monkeypatch, bucket, drawn):
+    """Neither blocks nor hot keys (with ``drawn`` of 1 every text tells of them) change the pairs."""
+    monkeypatch.setattr(D.candidate_pairs, "__defaults__", (bucket, drawn))
     rows = corpus(1, 25, 5)
     shares = brute(rows)
     got = found(D.near_pairs(frame(spark, rows), ["vault", "key"], "body"))
@@ -70,6 +72,28 @@ def test_copies_of_a_third_of_all_rows(spark):
     assert {r["links"] for r in groups} == {1}
 
 
+def test_different_texts_of_one_large_class(spark):
+    """Texts that differ only in case have equal runs; of their copies none loses its links to the other texts."""
+    words = [f"x{i}" for i in range(30)]
+    texts = [" ".join(words), " ".join(words).upper(), ", ".join(words)]
+    rows = [("v", f"t{t}-{k:02}", texts[t]) for t in range(3) for k in range(8)]
+    got = found(D.near_pairs(frame(spark, rows), ["vault", "key"], "body", expand=5))
+    star = {("v", f"t{t}-00", "v", f"t{t}-{k:02}") for t in range(3) for k in range(1, 8)}
+    assert got == star | {("v", "t0-00", "v", "t1-00"), ("v", "t0-00", "v", "t2-00"), ("v", "t1-00", "v", "t2-00")}
+
+
+def test_hot_key_of_unlike_texts(spark):
+    """A segment that all texts share (a template) makes no pairs of texts that are not alike, and hides none that are."""
+    rng = np.random.default_rng(3)
+    fps = rng.integers(0, 1 << 16, (400, D.SYMBOLS), dtype=np.uint16)
+    fps[:, :4] = 7
+    fps[1::2] = fps[::2]
+    fps[1::2, 10:18] += 1
+    classes = spark.createDataFrame([((k << 64).to_bytes(16, "big"), fps[k].tobytes()) for k in range(400)], "digest binary, fp binary")
+    got = {(int.from_bytes(r["a"], "big") >> 64, int.from_bytes(r["b"], "big") >> 64) for r in D.candidate_pairs(classes, 20, bucket=32, drawn=1).collect()}
+    assert got == {(k, k + 1) for k in range(0, 400, 2)}
+
+
 def test_edge_cases(spark):
     words = " ".join(f"a{k}" for k in range(20))
     rows = [("v", "null", None), ("v", "empty", ""), ("v", "blank", " \n"), ("v", "few", "one two three"), ("v", "19", " ".join(words.split()[:19])), ("v", "a", words), ("v", "b", words.replace(" ", "_")), (None, "c", words), ("v", None, words), ("v", "a", words), ("v", "long", words + " " + " ".join(f"t{k}" for k in range(60_000)))]
@@ -112,8 +136,6 @@ def test_components(spark):
 
 
 def test_balls_meet_at_one_difference():
-    import numpy as np
-
     fp = np.arange(D.SYMBOLS, dtype=np.uint16)[None, :]
     other = fp.copy()
     other[0, ::4] += 7
