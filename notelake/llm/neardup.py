@@ -189,7 +189,9 @@ def candidate_pairs(classes: DataFrame, max_distance: int, bucket: int = BUCKET,
     posted = classes.select("digest", "fp").mapInArrow(_post, "cid bigint, k bigint, place int")
     any_hot = hot.limit(1).count() > 0
     cold = posted.select("cid", "k").join(broadcast_bounded(hot), "k", "left_anti") if any_hot else posted.select("cid", "k")
-    out = _bucket_pairs(cold.withColumn("n", F.count("*").over(Window.partitionBy("k"))).where("n > 1"), fps, max_distance, bucket)
+    # read by both sides of the join below: postings are shuffled once
+    shared = cut(cold.withColumn("n", F.count("*").over(Window.partitionBy("k"))).where("n > 1"))
+    out = _bucket_pairs(shared, fps, max_distance, bucket)
     if any_hot:
         # two texts that differ in at most max_distance symbols have one in common among any max_distance + 1 of them
         others = F.array([F.array([F.lit(p) for p in range(SYMBOLS) if p // WIDTH != g]) for g in range(SEGMENTS)])
@@ -248,7 +250,7 @@ def class_links(items: DataFrame, key_cols: list[str], text_col: str, similarity
     signed = cut(signatures(items, key_cols, text_col, min_words))
     members = signed.select("digest", *key_cols, "exact").distinct()
     first = F.struct(*key_cols)
-    classes = signed.groupBy("digest").agg(F.min("fp").alias("fp"))
+    classes = cut(signed.groupBy("digest").agg(F.min("fp").alias("fp")))
     pairs = cut(candidate_pairs(classes, max_distance))
     named = pairs.select(F.col("a").alias("digest")).union(pairs.select(F.col("b").alias("digest"))).distinct()
     reps = signed.select("digest", *key_cols).join(named, "digest").groupBy("digest").agg(F.min(first).alias("rep")).select("digest", "rep.*")
