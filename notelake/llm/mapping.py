@@ -5,7 +5,7 @@ folded form. Pairs are ordered by rarity over all values, those that no list ent
 similarity of at least ``t`` must share one of the first ``n - ceil(t n) + 1`` pairs of each, so only these are joined;
 the sizes must allow ``t`` (length filter) and so must the places of the shared pair (positional filter). The Jaccard
 similarity of the survivors is computed exactly. An exact check on the letters then decides whether the value is a
-way of typing the entry, and the best entry is kept.
+way of typing the entry, and the entry of the greatest similarity is kept (of equally similar ones that of fewer edits).
 
 The exact check compares the words in every rotation (``forecast, Latency``; ``rotation of caches``) by edit distance
 with transpositions, in which an end cut off by up to three letters counts less. Each word of the entry must itself be
@@ -42,8 +42,8 @@ SIMILARITY = 0.35
 #: Values carried by at least so many rows are heavy; the most frequent of them, at most MAX_HEAVY, are broadcast.
 HEAVY_ROWS = 5_000
 MAX_HEAVY = 1_000
-#: The list of entries is held by each worker; a longer one is refused.
-MAX_ENTRIES = 200_000
+#: A list of up to so many entries is held by each worker; for a longer one the join is a shuffle. Both give the same rows.
+HELD_ENTRIES = 200_000
 #: Edits at most between a value and its entry.
 MOST_EDITS = 4
 
@@ -55,7 +55,6 @@ BEFORE = {"the", "our", "my", "a", "an", "on", "re", "fw", "fwd", "wip", "draft"
 AFTER = {"page", "pages", "notes", "note", "draft", "old", "wip", "md", "doc", "copy", "new", "v1", "v2", "v3", "v4", "v5", "tbd", "final"}
 
 _PARTS = regex.compile(r"[^\W_]+")
-_MIXED = regex.compile(r"(?=\w*[a-z])[a-z0134579@$]+")
 
 
 def fold(value: str) -> str:
@@ -71,10 +70,13 @@ def fold(value: str) -> str:
     return " ".join(words)
 
 
-def stripped(words: list[str]) -> list[str]:
-    """Without added words at both ends."""
+_NUMBER = regex.compile(r"v?\d+")
+
+
+def stripped(words: list[str], known: frozenset[str] | None = None) -> list[str]:
+    """Without added words at both ends; with ``known``, the list's words, without numbers and versions that are none of them."""
     a, b = 0, len(words)
-    while b - a > 1 and (words[b - 1] in AFTER or any(edits(words[b - 1], w, 1) <= 1 for w in AFTER if len(w) > 3)):
+    while b - a > 1 and (words[b - 1] in AFTER or (known is not None and words[b - 1] not in known and _NUMBER.fullmatch(words[b - 1])) or any(edits(words[b - 1], w, 1) <= 1 for w in AFTER if len(w) > 3)):
         b -= 1
     while b - a > 1 and words[a] in BEFORE:
         a += 1
@@ -138,7 +140,7 @@ def allowed(n: int) -> int:
 
 def means(value: str, entry: str, words: frozenset[str]) -> int | None:
     """Edits by which a folded value differs from a folded entry, if it is a way of typing it. ``words``: of all entries."""
-    v = stripped(value.split())
+    v = stripped(value.split(), words)
     e = entry.split()
     if v == e:
         return 0
@@ -177,12 +179,15 @@ def means(value: str, entry: str, words: frozenset[str]) -> int | None:
     return best
 
 
-def entries_of(names: DataFrame) -> list[tuple[int, str]]:
-    """``(id, folded name)`` of the list ``names`` (``id, name``), on the driver: the list is bounded by ``MAX_ENTRIES``."""
-    rows = names.where("id is not null and name is not null").distinct().limit(MAX_ENTRIES + 1).collect()
-    if len(rows) > MAX_ENTRIES:
-        raise ValueError(f"the list has more than {MAX_ENTRIES} entries")
-    return sorted({(r["id"], f) for r in rows if (f := fold(r["name"]))})
+def folded_names(names: DataFrame) -> DataFrame:
+    """Distinct ``id, name`` (folded, with letters or digits) of the list ``names`` (``id, name``)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fold(v) for v in batch.column(1).to_pylist()], type=pa.string())], names=["id", "name"])
+
+    rows = names.where("id is not null and name is not null").select(F.col("id").cast("int").alias("id"), "name").distinct()
+    return rows.mapInArrow(run, "id int, name string").where("name <> ''").distinct()
 
 
 def _pair_counts(values: DataFrame, wanted: set[str]) -> dict[str, int]:
@@ -209,11 +214,15 @@ def folded_values(values: DataFrame) -> DataFrame:
     return values.select("value", "n").mapInArrow(run, "value string, n bigint, folded string")
 
 
-def map_values(values: DataFrame, names: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+def map_values(values: DataFrame, names: DataFrame, similarity: float = SIMILARITY, held: int = HELD_ENTRIES) -> tuple[DataFrame, DataFrame]:
     """``value, n, id, similarity, edits`` for each distinct value (``value, n``) that means an entry of ``names`` (``id, name``),
-    and all values. The list is held by each worker, so candidates are found and judged without a shuffle."""
+    and all values. A list of at most ``held`` entries is held by each worker, so that candidates are found and judged
+    without a shuffle; a longer one is joined by prefixes."""
     spark = values.sparkSession
-    entries = entries_of(names)
+    names = folded_names(names)
+    entries = sorted((r["id"], r["name"]) for r in names.limit(held + 1).collect())
+    if len(entries) > held:
+        return _joined(cut(folded_values(values)), cut(names), similarity)
     words = frozenset(w for _, name in entries for w in name.split())
     values = cut(folded_values(values))
     entry_pairs = [pairs_of(name) for _, name in entries]
@@ -264,23 +273,84 @@ def _best(folded, entries, words, rank, sets, sizes, posting, letters, similarit
     k, left = np.concatenate(met), np.concatenate(left)
     size = sizes[k]
     fits = (np.minimum(size, n) >= similarity * np.maximum(size, n) - 1e-9) & (left >= similarity / (1 + similarity) * (size + n) - 1e-9)
-    mine, own = set(pairs), None
+    mine, own = set(pairs), _letters(folded, words)
     best = None
     for e in np.unique(k[fits]).tolist():
-        both = len(mine & sets[e])
-        jaccard = both / (n + len(sets[e]) - both)
-        if jaccard < similarity:
-            continue
-        if own is None:
-            own = Counter("".join(w for w in stripped(folded.split()) if w != "of"))
-        # no way of typing lacks or adds more letters than that
-        if sum((letters[e] - own).values()) > MOST_EDITS + 3 or sum((own - letters[e]).values()) > MOST_EDITS + 1:
-            continue
-        d = means(folded, entries[e][1], words)
-        if d is not None:
-            found = (d, -jaccard, entries[e][0])
+        found = _judged(folded, mine, own, entries[e][1], sets[e], letters[e], words, similarity)
+        if found:
+            found = (*found, entries[e][0])
             best = found if best is None or found < best else best
-    return best and (best[2], -best[1], best[0])
+    return best and (best[2], -best[0], best[1])
+
+
+def _letters(folded: str, words: frozenset[str]) -> Counter:
+    return Counter("".join(w for w in stripped(folded.split(), words) if w != "of"))
+
+
+def _judged(folded: str, mine: set, own: Counter, name: str, pairs: set, letters: Counter, words: frozenset[str], similarity: float) -> tuple[float, int] | None:
+    """``(-similarity, edits)`` if a folded value is a way of typing a folded entry."""
+    both = len(mine & pairs)
+    jaccard = both / (len(mine) + len(pairs) - both)
+    # no way of typing lacks or adds more letters than that
+    if jaccard < similarity or sum((letters - own).values()) > MOST_EDITS + 3 or sum((own - letters).values()) > MOST_EDITS + 1:
+        return None
+    d = means(folded, name, words)
+    return None if d is None else (-jaccard, d)
+
+
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The folded text with its pairs."""
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pairs_of(v) for v in batch.column(0).to_pylist()], type=pa.list_(pa.string()))], names=["t", "pairs"])
+
+
+def _worded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The folded text with its words and their singulars."""
+    for batch in batches:
+        made = [sorted({x for w in v.split() for x in (w, w[:-1]) if x}) for v in batch.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, type=pa.list_(pa.string()))], names=["t", "words"])
+
+
+def _prefixes(texts: DataFrame, counts: DataFrame, similarity: float) -> DataFrame:
+    """``t, size, pair, place`` of the rare prefixes of distinct texts (``t``): pairs in the order of ``counts`` (``pair, c``), pairs
+    that no entry has first. What is gathered of a text is its own pairs."""
+    each = texts.mapInArrow(_listed, "t string, pairs array<string>").select("t", F.size("pairs").alias("size"), F.explode("pairs").alias("pair"))
+    ordered = each.join(counts, "pair", "left").groupBy("t", "size").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "pair"))).alias("o"))
+    length = (F.col("size") - F.ceil(F.lit(similarity) * F.col("size") - 1e-9) + 1).cast("int")
+    return ordered.select("t", "size", F.posexplode(F.slice("o", 1, length)).alias("place", "x")).select("t", "size", "place", F.col("x.pair").alias("pair"))
+
+
+def _joined(values: DataFrame, names: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """``map_values`` for a list of any length: prefixes meet in a shuffle join on the pair, and each value carries those of
+    its words that the list has. Pairs that no entry has cannot meet, and values keep their place among the others."""
+    texts, listed = values.select(F.col("folded").alias("t")).distinct(), names.select(F.col("name").alias("t")).distinct()
+    wanted = listed.mapInArrow(_listed, "t string, pairs array<string>").select(F.explode("pairs").alias("pair")).distinct()
+    counts = texts.mapInArrow(_listed, "t string, pairs array<string>").select(F.explode("pairs").alias("pair")).groupBy("pair").agg(F.count("*").alias("c"))
+    counts = cut(counts.join(wanted, "pair"))
+    left = _prefixes(texts, counts, similarity).select(F.col("t").alias("v"), F.col("size").alias("n"), F.col("place").alias("i"), "pair")
+    right = _prefixes(listed, counts, similarity).select(F.col("t").alias("e"), F.col("size").alias("m"), F.col("place").alias("j"), "pair")
+    size = F.least("n", "m") >= similarity * F.greatest("n", "m") - 1e-9
+    place = F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) >= similarity / (1 + similarity) * (F.col("n") + F.col("m")) - 1e-9
+    met = left.join(right, "pair").where(size & place).select("v", "e").distinct()
+    known = listed.select(F.explode(F.split("t", " ")).alias("w")).distinct()
+    words = texts.mapInArrow(_worded, "t string, words array<string>").select("t", F.explode("words").alias("w")).join(known, "w").groupBy("t").agg(F.collect_set("w").alias("words"))
+    asked = met.join(words.withColumnRenamed("t", "v"), "v", "left").select("v", "e", "words")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[], [], []]
+            for row, (v, e, w) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)))):
+                found = _judged(v, set(pairs_of(v)), _letters(v, k := frozenset(w or ())), e, set(pairs_of(e)), Counter(e.replace(" ", "")), k, similarity)
+                if found:
+                    for c, x in zip(out, (row, *found)):
+                        c.append(x)
+            rows = pa.array(out[0], type=pa.int32())
+            own = [pa.array(c, type=t) for c, t in zip(out[1:], (pa.float64(), pa.int32()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), *own], names=["folded", "e", "s", "d"])
+
+    judged = asked.mapInArrow(run, "folded string, e string, s double, d int").join(names.select(F.col("name").alias("e"), "id"), "e")
+    best = judged.groupBy("folded").agg(F.min(F.struct("s", "d", "id")).alias("b"))
+    return values.join(best, "folded").select("value", "n", F.col("b.id").alias("id"), (-F.col("b.s")).alias("similarity"), F.col("b.d").alias("edits")), values
 
 
 def untitled(rows: DataFrame, names: DataFrame) -> DataFrame:

@@ -13,9 +13,9 @@ SAME = [
 OTHER = ["Payment limiting", "Cache glossary", "Xasizel rotation", "Search", "README", "Why rozosu and not nidaro 93191167", "rotation", "โน้ต", "!!", "9999"]
 
 
-def ask(spark, values, names=NAMES):
+def ask(spark, values, names=NAMES, **kw):
     df = spark.createDataFrame([(v, 1) for v in values], "value string, n bigint")
-    mapped, every = M.map_values(df, spark.createDataFrame(names, "id int, name string"))
+    mapped, every = M.map_values(df, spark.createDataFrame(names, "id int, name string"), **kw)
     return {r["value"]: r["id"] for r in mapped.collect()}, every
 
 
@@ -25,6 +25,20 @@ def test_ways_of_typing(spark):
     assert every.count() == len(SAME) + len(OTHER)
 
 
+def test_a_list_too_long_to_hold_gives_the_same(spark):
+    values = [v for v, _ in SAME] + OTHER
+    kw = {"held": 2}
+    got, every = ask(spark, values, **kw)
+    assert got == dict(SAME) and every.count() == len(values)
+    assert ask(spark, ["x y"], NAMES[:1], held=0)[0] == {} and ask(spark, [], NAMES, **kw)[0] == {}
+
+
+def test_numbers_at_the_end(spark):
+    got, _ = ask(spark, ["Rate forecast 2024", "Rate forecast v12", "Rate forecast (final v7)"])
+    assert set(got.values()) == {6} and len(got) == 3
+    assert ask(spark, ["Plan 2024", "Plan 2025"], [(1, "Plan 2024"), (2, "Plan 2025")])[0] == {"Plan 2024": 1, "Plan 2025": 2}
+
+
 def test_empty(spark):
     assert ask(spark, ["x y"], [])[0] == {} and ask(spark, [])[0] == {}
 
@@ -55,7 +69,7 @@ def test_filters_lose_nothing(spark):
             e = set(M.pairs_of(n))
             j = len(mine & e) / len(mine | e) if mine | e else 0
             if j >= M.SIMILARITY and (d := M.means(f, n, known)) is not None:
-                best = min(best or (99,), (d, -j, i))
+                best = min(best or (99,), (-j, d, i))
         if best:
             want[v] = best[2]
     assert ask(spark, sorted(set(values)))[0] == want
