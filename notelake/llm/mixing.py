@@ -1,10 +1,14 @@
 """Mixing sources to target weights.
 
-Method: Pfair scheduling. The mix is a sequence of slots of one block of tokens. Source s with share w is due its
+Method: Pfair scheduling. The mix is a sequence of slots of one block of ``BLOCK`` tokens. Source s with share w is due its
 block k (from 0) in the slots from floor(k / w) to ceil((k + 1) / w) - 1; among the blocks released the one with the
 earliest deadline goes first, so at any slot each source is less than a block from its share. Releases and deadlines
-are exact integers. Only shares, never documents, reach the planner; a block is ``BLOCK`` tokens, or a millionth of the
-mix where that is more, so that the plan has at most ``MAX_SLOTS`` rows whatever the size.
+are exact integers. Only shares, never documents, reach the planner.
+
+Mixes of over ``PERIOD`` slots are planned in periods, each by a task of its own: the blocks that each source has had at
+the end of a period are its share rounded, by the largest remainders, and within the period they follow one another as
+above. A source is then less than a block from its share of the period and at a period's end, and less than two blocks
+from its share anywhere; a block stays ``BLOCK`` tokens whatever the size.
 
 A source's documents are ordered by a hash of pass and id, and repeated in passes; the documents whose tokens begin
 in block k fill its slot. Running sums are taken within buckets of a source's documents and over the buckets' totals,
@@ -24,8 +28,11 @@ neighbours; repeated ids are separate documents; empty tables give an empty mix;
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
+from fractions import Fraction
 from math import ceil
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -34,11 +41,12 @@ from notelake.llm.bpe import VOCABULARY, count_tokens
 from notelake.session import broadcast_bounded, cut
 from notelake.sources.tables import table
 
-#: Tokens of a block at least, and slots of the plan at most.
+#: Tokens of a block, and slots that are planned together.
 BLOCK = 4_096
-MAX_SLOTS = 1_000_000
+PERIOD = 1_000_000
 #: Documents of a bucket, about.
 BUCKET_DOCS = 20_000
+#: The shares of all sources are held by the planner; more targets are refused.
 MAX_SOURCES = 100_000
 
 
@@ -76,6 +84,42 @@ def plan(weights: list[int], slots: int) -> list[tuple[int, int]]:
     return out
 
 
+def counts_by_period(weights: list[int], slots: int, period: int = PERIOD) -> np.ndarray:
+    """Blocks of each source in each period (a row each); rows add up to the period's slots, and running sums to the shares
+    rounded."""
+    whole, had, rows = sum(weights), np.zeros(len(weights), dtype=np.int64), []
+    for end in [*range(period, slots, period), slots]:
+        exact = [w * end for w in weights]
+        least = np.maximum(had, [x // whole for x in exact])
+        rest = [Fraction(x, whole) - int(c) for x, c in zip(exact, least)]
+        order = sorted(range(len(weights)), key=lambda s: (-rest[s], s))
+        open_ = end - int(least.sum())
+        for s in order[: max(0, open_)]:
+            least[s] += 1
+        # sources that had their next block early leave others one short for a period
+        for s in [s for s in reversed(order) if least[s] > had[s]][: max(0, -open_)]:
+            least[s] -= 1
+        rows.append(least - had)
+        had = least
+    return np.array(rows, dtype=np.int64).reshape(-1, len(weights))
+
+
+def planned(spark: SparkSession, names: list[str], weights: list[int], slots: int, period: int = PERIOD) -> DataFrame:
+    """``slot, source, block`` of the whole mix; each period is planned by a task of its own."""
+    counts = counts_by_period(weights, slots, period)
+    before = np.cumsum(counts, axis=0) - counts
+    rows = [(k * period, n.tolist(), b.tolist()) for k, (n, b) in enumerate(zip(counts, before))]
+    periods = spark.createDataFrame(rows, "start bigint, n array<bigint>, b array<bigint>").repartition(max(1, min(len(rows), 1_000)), "start")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for start, n, b in zip(batch["start"], batch["n"], batch["b"]):
+                made = plan([int(x) for x in n], int(sum(n)))
+                yield pd.DataFrame({"slot": [start + k for k in range(len(made))], "source": [names[s] for s, _ in made], "block": [int(b[s]) + k for s, k in made]})
+
+    return periods.mapInPandas(run, "slot bigint, source string, block bigint")
+
+
 def _sized(docs: DataFrame, path: str) -> DataFrame:
     """``doc_id, source, n_tokens`` of the documents that have a source."""
     return count_tokens(docs.where(docs["source"].isNotNull()), ["doc_id", "source"], "text", path)
@@ -106,7 +150,7 @@ def _placed(sized: DataFrame, per_source: dict[str, tuple[int, int, float]]) ->
     return placed.where(F.col("at") < F.col("given")).select("doc_id", "source", "n_tokens", "pass", "at", "h")
 
 
-def mix(docs: DataFrame, targets: DataFrame, block: int = BLOCK, path: str = VOCABULARY) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, targets: DataFrame, block: int = BLOCK, path: str = VOCABULARY, period: int = PERIOD) -> tuple[DataFrame, DataFrame]:
     """The mix ``slot, source, doc_id, pass, n_tokens, at`` (in the order of ``slot``, then ``at``) and the report of the shares."""
     spark = docs.sparkSession
     goal = _targets(targets)
@@ -117,22 +161,19 @@ def mix(docs: DataFrame, targets: DataFrame, block: int = BLOCK, path: str = VOC
     given = amounts({s: t for s, (t, _) in sizes.items()}, goal)
     names = sorted(given)
     weights = [max(1, round(given[s])) for s in names]
-    total = sum(weights)
-    block = max(block, ceil(total / MAX_SLOTS))
-    slots = ceil(total / block)
+    slots = ceil(sum(weights) / block)
     placed = _placed(sized.join(listed, "source", "left_semi"), {s: (*sizes[s], given[s]) for s in names}) if names else None
     if placed is None:
         empty = spark.createDataFrame([], "slot bigint, source string, doc_id bigint, pass int, n_tokens bigint, at bigint")
         return empty, report(empty, goal, sizes, given)
 
-    made = plan(weights, slots)
-    rows = pd.DataFrame({"slot": range(slots), "source": [names[s] for s, _ in made], "block": [k for _, k in made]})
-    planned = spark.createDataFrame(rows, "slot bigint, source string, block bigint")
+    blocks = counts_by_period(weights, slots, period).sum(axis=0)
+    last = F.broadcast(spark.createDataFrame([(s, int(n) - 1) for s, n in zip(names, blocks)], "source string, last bigint"))
     filled = placed.withColumn("block", F.floor(F.col("at") / block))
-    last = planned.groupBy("source").agg(F.max("block").alias("last"))
     # rounding may leave a source one block short: what begins behind its last block goes there
-    filled = filled.join(broadcast_bounded(last), "source").withColumn("block", F.least("block", "last"))
-    out = filled.join(planned, ["source", "block"]).select("slot", "source", "doc_id", F.col("pass").cast("int").alias("pass"), "n_tokens", "at")
+    filled = filled.join(last, "source").withColumn("block", F.greatest(F.lit(0), F.least("block", "last")))
+    # a source of too little for a slot of its own goes into the last one
+    out = filled.join(planned(spark, names, weights, slots, period), ["source", "block"], "left").select(F.coalesce("slot", F.lit(slots - 1)).alias("slot"), "source", "doc_id", F.col("pass").cast("int").alias("pass"), "n_tokens", "at")
     return out, report(out, goal, sizes, given)
 
 

@@ -74,9 +74,38 @@ def test_empty(spark):
         assert mixed.count() == 0 and report.count() == t.count()
 
 
+@settings(max_examples=200, deadline=None)
+@given(weights=st.lists(st.integers(1, 10**6), min_size=1, max_size=12), slots=st.integers(1, 300), period=st.integers(1, 40))
+def test_periods_add_up(weights, slots, period):
+    counts = X.counts_by_period(weights, slots, period)
+    assert (counts >= 0).all() and counts.sum() == slots and all(n == period for n in counts.sum(axis=1)[:-1])
+    total, had, n, ends = sum(weights), [0] * len(weights), 0, counts.cumsum(axis=0)
+    assert all(abs(e[s] - w * min(slots, (j + 1) * period) / total) < 2 for j, e in enumerate(ends) for s, w in enumerate(weights))
+    for row in counts:
+        for s, _ in X.plan(row.tolist(), int(row.sum())):
+            had[s] += 1
+            n += 1
+            assert all(abs(h - w * n / total) < 3 for h, w in zip(had, weights))
+
+
 @needs_vocabulary
-def test_plan_is_bounded(spark, monkeypatch):
-    monkeypatch.setattr(X, "MAX_SLOTS", 10)
-    docs = spark.createDataFrame([(k, "word " * 50, "ab"[k % 2], 1, "s", 1) for k in range(100)], DOCS)
-    mixed, _ = X.mix(docs, spark.createDataFrame([("a", 1.0, 2, 1), ("b", 1.0, 2, 1)], TARGETS), block=1)
-    assert mixed.select("slot").distinct().count() <= 10 and mixed.count() == 100
+def test_periods_keep_every_document(spark):
+    docs = spark.createDataFrame([(k, "word " * 50, "aab"[k % 3], 1, "s", 1) for k in range(100)], DOCS)
+    targets = spark.createDataFrame([("a", 1.0, 2, 1), ("b", 2.0, 2, 1)], TARGETS)
+    one, _ = X.mix(docs, targets, block=64)
+    many, _ = X.mix(docs, targets, block=64, period=7)
+    uses = lambda df: sorted((r["source"], r["doc_id"], r["pass"], r["at"]) for r in df.collect())
+    assert uses(one) == uses(many)
+    # blocks of a source stay in their order
+    for df in (one, many):
+        order = [(r["source"], r["at"]) for r in sorted(df.collect(), key=lambda r: (r["slot"], r["at"]))]
+        for s in "ab":
+            assert [at for x, at in order if x == s] == sorted(at for x, at in order if x == s)
+
+
+@needs_vocabulary
+def test_a_source_of_less_than_a_block(spark):
+    docs = spark.createDataFrame([(k, "word " * 50, "a", 1, "s", 1) for k in range(100)] + [(500, "one", "tiny", 1, "s", 1)], DOCS)
+    mixed, report = X.mix(docs, spark.createDataFrame([("a", 1.0, 2, 1), ("tiny", 1e-6, 1, 1)], TARGETS), block=1000)
+    got = mixed.collect()
+    assert [r["slot"] for r in got if r["source"] == "tiny"] == [max(r["slot"] for r in got)]
