@@ -19,7 +19,7 @@ owners gives fewer rows; an empty table gives none; further columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -81,8 +81,8 @@ def _orders(classes: DataFrame, pivots: np.ndarray, length: int, dim: int) -> Da
     return classes.mapInArrow(run, "cls bigint, note bigint, many boolean, query boolean, n bigint, q binary, pre binary")
 
 
-def _posted(orders: DataFrame, lists: int, length: int, pairs: bool) -> DataFrame:
-    """The inverted files (``file``) that each row belongs to."""
+def _posted(orders: DataFrame, lists: int, length: int, pairs: bool, compared: int) -> DataFrame:
+    """The inverted files (``file``) that each row belongs to; of its order the first ``compared`` pivots go with it."""
     orders = orders.select("cls", "note", "many", "query", "q", "pre")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,7 +95,9 @@ def _posted(orders: DataFrame, lists: int, length: int, pairs: bool) -> DataFram
             else:
                 files = pre[:, : min(lists, length)]
             width = files.shape[1]
-            yield batch.take(pa.array(np.repeat(np.arange(n), width))).append_column("file", pa.array(files.ravel()))
+            short = pa.array([r.tobytes() for r in pre[:, :compared].astype("<u2")], type=pa.binary())
+            whole = pa.RecordBatch.from_arrays([*batch.columns[:5], short], names=batch.schema.names)
+            yield whole.take(pa.array(np.repeat(np.arange(n), width))).append_column("file", pa.array(files.ravel()))
 
     return orders.mapInArrow(run, "cls bigint, note bigint, many boolean, query boolean, q binary, pre binary, file bigint")
 
@@ -183,14 +185,19 @@ def most_similar(
     queries: Column | None = None,
     min_cosine: float = -1.5,
     dim: int = DIM,
-    pivots: int | None = None,
+    pivots: int | Callable[[int], int] | None = None,
+    lists_of: Callable[[int], int] | None = None,
+    compared: int | None = None,
     length: int = 12,
     data_lists: int = 4,
     query_lists: int | None = None,
     rerank: int = 48,
 ) -> DataFrame:
     """``id_a, id_b, cosine, rank`` (1 to k): for each usable vector (for which ``queries`` holds) the k most similar
-    usable vectors of other owners, of those with at least ``min_cosine``."""
+    usable vectors of other owners, of those with at least ``min_cosine``.
+
+    ``pivots`` is their number or a function of the number of vectors; ``lists_of`` gives the files that a query looks up for
+    the number of pivots; orders are compared by their first ``compared`` pivots."""
     spark = vectors.sparkSession
     flagged = vectors.withColumn("_query_", F.lit(True) if queries is None else F.coalesce(queries, F.lit(False)))
     rows = _quantised(vectors, owner, id_col, vec_col, dim)
@@ -200,7 +207,7 @@ def most_similar(
         asked = flagged.where("_query_").select(F.col(id_col).cast("long").alias("id"), F.lit(True).alias("query"))
         rows = rows.join(broadcast_bounded(asked), "id", "left").withColumn("query", F.coalesce("query", F.lit(False)))
     n = vectors.where(usable(vectors[vec_col], dim) & F.col(id_col).isNotNull()).count()
-    size = min(MAX_PIVOTS, max(32, n // PER_PIVOT if pivots is None else pivots))
+    size = min(MAX_PIVOTS, max(32, n // PER_PIVOT if pivots is None else pivots(n) if callable(pivots) else pivots))
     # about four times as many rows are drawn, as equal vectors make one pivot; by a bound on the hash, so that what reaches
     # the driver does not grow with the number of tasks
     h = F.pmod(F.xxhash64("id"), F.lit(1 << 40))
@@ -209,17 +216,20 @@ def most_similar(
     if not chosen:
         return spark.createDataFrame([], "id_a bigint, id_b bigint, cosine double, rank int")
     points = _unit(np.stack([np.frombuffer(q, dtype="<i2") for q in chosen]))
+    if lists_of is not None:
+        length = query_lists = lists_of(len(points))
     length = min(length, len(points), 255)
+    compared = min(length, compared or length)
     pairs = PAIRS_FROM is not None and n > PAIRS_FROM
     grouped = rows.groupBy("q").agg(F.min(F.struct("id", "note")).alias("f"), F.count("*").alias("n"), (F.min("note") != F.max("note")).alias("many"), F.max("query").alias("query"))
     orders = cut(_orders(grouped.select(F.col("f.id").alias("cls"), F.col("f.note").alias("note"), "many", "query", "n", "q"), points, length, dim))
     if query_lists is None:
-        posts = _posted(orders, data_lists, length, pairs).withColumn("role", F.when(F.col("query"), 3).otherwise(2))
+        posts = _posted(orders, data_lists, length, pairs, compared).withColumn("role", F.when(F.col("query"), 3).otherwise(2))
     else:
-        posts = _posted(orders, data_lists, length, pairs).withColumn("role", F.lit(2))
-        posts = posts.unionByName(_posted(orders.where("query"), query_lists, length, pairs).withColumn("role", F.lit(1)))
+        posts = _posted(orders, data_lists, length, pairs, compared).withColumn("role", F.lit(2))
+        posts = posts.unionByName(_posted(orders.where("query"), query_lists, length, pairs, compared).withColumn("role", F.lit(1)))
     # only files that are too long need blocks
-    lengths = _posted(orders, data_lists, length, pairs).groupBy("file").agg(F.count("*").alias("m"))
+    lengths = _posted(orders, data_lists, length, pairs, compared).groupBy("file").agg(F.count("*").alias("m"))
     long = cut(lengths.where(F.col("m") > MAX_LIST).select("file", F.ceil(F.col("m") / MAX_LIST).cast("int").alias("blocks")))
     posts = posts.join(broadcast_bounded(long), "file", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     mine = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
@@ -230,7 +240,7 @@ def most_similar(
     as_query = blocked.where("role <> 2").select("file", F.col("o").alias("i"), F.col("mine").alias("j"), F.lit(1).alias("role"), *fixed[1:])
     files = short.unionByName(as_data).unionByName(as_query) if long.limit(1).count() else short
     met = files.repartition("file", "i", "j").sortWithinPartitions("file", "i", "j").mapInArrow(
-        _ranked(max(2 * k, 6), rerank, min_cosine, length, dim), "a bigint, note_a bigint, many_a boolean, b bigint, note_b bigint, many_b boolean, cos float"
+        _ranked(max(2 * k, 6), rerank, min_cosine, compared, dim), "a bigint, note_a bigint, many_a boolean, b bigint, note_b bigint, many_b boolean, cos float"
     )
     met = met.groupBy("a", "note_a", "b", "note_b").agg(F.max("cos").alias("cos"))
     # members of classes of equal vectors: for each as many as the nearest of any other owner may need
@@ -260,11 +270,20 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return near.select(F.least("id_a", "id_b").alias("vec_a"), F.greatest("id_a", "id_b").alias("vec_b")).distinct()
 
 
+def knn_pivots(n: int) -> int:
+    """Pivots for the nearest of every asked vector: as the root of the collection."""
+    return max(64, int(4 * n**0.5))
+
+
+def knn_lists(pivots: int) -> int:
+    """Files that a query looks up: as the root of the pivots, so that its share of the collection falls as it grows (a half
+    of 18 000 vectors, a quarter of 180 000, a sixth of 1.8 million)."""
+    return min(255, max(8, int(3 * pivots**0.5)))
+
+
 def p1_knn(spark: SparkSession, folder: str) -> DataFrame:
     """The 5 most similar vectors of other notes for every vector whose id is divisible by 50, against all."""
-    near = most_similar(
-        table(spark, folder, "vectors"), ["vault", "key"], "vec_id", "embedding", k=5, queries=F.col("vec_id") % 50 == 0, pivots=512, length=48, data_lists=4, query_lists=48, rerank=200
-    )
+    near = most_similar(table(spark, folder, "vectors"), ["vault", "key"], "vec_id", "embedding", k=5, queries=F.col("vec_id") % 50 == 0, pivots=knn_pivots, lists_of=knn_lists, compared=48, rerank=400)
     return near.select("id_a", "id_b", F.round("cosine", 4).alias("cosine"), "rank")
 
 

@@ -1,3 +1,5 @@
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -102,3 +104,18 @@ def test_found(spark, tmp_path, save):
     folder = save(vectors=([(*r, "x", 1, "y") for r in rows], DDL))
     got = {tuple(r) for r in V.p1_found(spark, folder).collect()}
     assert got == {(0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3), (1, 9), (2, 9), (3, 9)}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables here")
+def test_recall_of_the_registered_query(spark):
+    v = spark.read.parquet("/root/testdata/sf0.01/vectors.parquet")
+    rows = [tuple(r) for r in v.where(V.usable("embedding", 64)).select("vec_id", "vault", "key", "embedding").collect()]
+    x = np.array([r[3] for r in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = set()
+    for i, a in enumerate(rows):
+        if a[0] % 50 == 0:
+            near = sorted((-c, b[0]) for c, b in zip(x[i] @ x.T, rows) if b[1:3] != a[1:3])
+            want |= {(a[0], b) for _, b in near[:5]}
+    got = {(r["id_a"], r["id_b"]) for r in V.p1_knn(spark, "/root/testdata/sf0.01").collect()}
+    assert len(got & want) >= 0.95 * len(want) and len(got) == len(want)
