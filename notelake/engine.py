@@ -156,10 +156,8 @@ class Engine:
         return G.graph(self.notes(vault), self.edges(vault), self.vaults())
 
     def doctor(self) -> DataFrame:
-        listing = self.notes().select(*KEY)
-        vectors = self.store.read("vectors")
-        vectors = vectors if vectors is not None else self.spark.createDataFrame([], "vault string, key string, embedding array<float>")
-        return H.doctor(listing, self.notes(), self.edges(), self.vaults(), vectors)
+        model = (self.store.current() or {}).get("model")
+        return H.doctor(self.notes().select(*KEY), self.notes(), self.edges(), self.vaults(), self.store.read("vectors"), model[1] if model else None)
 
     # -- changes --
 

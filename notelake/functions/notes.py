@@ -78,11 +78,11 @@ def cosine(a: Column | str, b: Column | str) -> Column:
     return F.coalesce(F.when(usable & (norm(x) > 0) & (norm(y) > 0), dot / (norm(x) * norm(y))), F.lit(0.0))
 
 
-def usable_vector(c: Column | str, dim: int = 64) -> Column:
-    """Whether an embedding has ``dim`` finite entries, not all zero."""
+def usable_vector(c: Column | str, dim: int | Column | None = 64) -> Column:
+    """Whether an embedding has ``dim`` finite entries (any number if None), not all zero."""
     e = _col(c)
     bad = F.exists(e, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return F.coalesce((F.size(e) == dim) & ~bad & F.exists(e, lambda x: x != 0), F.lit(False))
+    return F.coalesce((F.lit(True) if dim is None else F.size(e) == dim) & ~bad & F.exists(e, lambda x: x != 0), F.lit(False))
 
 
 def source_label(name: Column | str, license_: Column | str) -> Column:

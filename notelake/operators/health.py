@@ -29,17 +29,30 @@ def _placed(listing: DataFrame, scoped: DataFrame) -> DataFrame:
     return listing.select("vault", "key").where(F.endswith("key", F.lit(".md"))).join(in_, ["vault", "key"], "left")
 
 
-def doctor(listing: DataFrame, notes: DataFrame, edges: DataFrame, vaults: DataFrame, vectors: DataFrame) -> DataFrame:
+def doctor(listing: DataFrame, notes: DataFrame, edges: DataFrame, vaults: DataFrame, vectors: DataFrame | None, dim: int | None = 64) -> DataFrame:
     """One row per vault of the counts of scope, ambiguous titles (the vault's own and among references only), orphans, broken
-    links and embeddings; a vault without vectors shows none."""
+    links and embeddings. A vault without any vectors has ``embedded`` null, its own notes missing and no reference notes missing:
+    references are embedded only where asked for."""
+    edges = edges.select("vault", "from_key", "target")
     dup = duplicate_titles(notes).groupBy("vault").agg(F.count_if("project").alias("ambiguous"), F.count_if(~F.col("project")).alias("ambiguous_reference"))
     lone = orphans(notes, edges).groupBy("vault").agg(F.count("*").alias("orphans"))
     broken = broken_links(notes, edges, vaults).groupBy("vault").agg(F.count("*").alias("broken"))
     out = audit(listing, notes)
-    for part in (dup, lone, broken, coverage(notes, vectors)):
+    for part in (dup, lone, broken):
         out = out.join(part, "vault", "left")
     zero = [c for c in out.columns if c != "vault"]
-    return out.select("vault", *[F.coalesce(c, F.lit(0)).alias(c) for c in zero])
+    out = out.select("vault", *[F.coalesce(c, F.lit(0)).alias(c) for c in zero])
+    if vectors is None:
+        vectors = notes.sparkSession.createDataFrame([], "vault string, key string, embedding array<float>")
+    stores = vectors.select("vault").distinct().withColumn("_store", F.lit(True))
+    covered = out.join(coverage(notes, vectors, dim), "vault", "left").join(stores, "vault", "left")
+    there = F.coalesce("_store", F.lit(False))
+    return covered.select(
+        *out.columns,
+        F.when(there, F.coalesce("embedded", F.lit(0))).alias("embedded"),
+        F.coalesce("missing_project", F.lit(0)).alias("missing_project"),
+        F.when(there, F.coalesce("missing_reference", F.lit(0))).otherwise(0).alias("missing_reference"),
+    )
 
 
 def pack_report(notes: DataFrame, include_reference: bool = False) -> DataFrame:

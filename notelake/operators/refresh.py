@@ -111,9 +111,10 @@ def claim(meta: tuple[str, int] | None, model: str, dim: int) -> tuple[str, int]
     return model, dim
 
 
-def coverage(notes: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Per vault: notes with vectors, and those of the vault's own and of its references without."""
-    have = vectors.where(usable_vector("embedding")).select(*KEY).distinct().withColumn("_has", F.lit(True))
+def coverage(notes: DataFrame, vectors: DataFrame, dim: int | None = 64) -> DataFrame:
+    """Per vault: notes with vectors of ``dim`` entries (of any number if None), and those of the vault's own and of its references
+    without."""
+    have = vectors.where(usable_vector("embedding", dim)).select(*KEY).distinct().withColumn("_has", F.lit(True))
     joined = notes.select(*KEY, "reference").join(have, KEY, "left")
     none = F.col("_has").isNull()
     return joined.groupBy("vault").agg(F.count_if(~none).alias("embedded"), F.count_if(none & ~F.col("reference")).alias("missing_project"), F.count_if(none & F.col("reference")).alias("missing_reference"))

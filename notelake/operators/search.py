@@ -9,8 +9,11 @@ rounded to six decimals, ties by key, before any body is read.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,11 +36,29 @@ def clamp(limit: int = DEFAULT_LIMIT) -> int:
 # ---- index ----
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``vault, key, field, term, tf, positions`` of ``vault, key, field, tokens``: the tokens of a field sorted by term, by whole
+    batches."""
+    for batch in batches:
+        lists = batch.column(3)
+        sizes = np.diff(lists.offsets.to_numpy())
+        codes = lists.flatten().dictionary_encode()
+        code = codes.indices.to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(batch.num_rows), sizes)
+        pos = (np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
+        order = np.lexsort((code, row))
+        code, row = code[order], row[order]
+        first = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (row[1:] != row[:-1])])) if len(row) else np.zeros(0, dtype=np.int64)
+        ends = np.append(first, len(row)).astype(np.int32)
+        own = [codes.dictionary.take(pa.array(code[first])), pa.array(np.diff(ends), type=pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(pos[order]))]
+        yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(row[first])) for k in range(3)), *own], names=["vault", "key", "field", "term", "tf", "positions"])
+
+
 def postings(notes: DataFrame, segment: object | None = None) -> DataFrame:
-    """``vault, key, field, term, tf, positions`` of titles and bodies."""
+    """``vault, key, field, term, tf, positions`` of titles and bodies. A note's tokens lie in its row, so nothing is shuffled."""
     fields = F.array(*[F.struct(F.lit(f).alias("field"), tokens(f, segment).alias("tokens")) for f in FIELDS])
-    each = notes.select("vault", "key", F.explode(fields).alias("f")).select("vault", "key", F.col("f.field").alias("field"), F.posexplode("f.tokens").alias("pos", "term"))
-    return each.groupBy("vault", "key", "field", "term").agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+    each = notes.select("vault", "key", F.explode(fields).alias("f")).select("vault", "key", F.col("f.field").alias("field"), F.col("f.tokens").alias("tokens"))
+    return each.mapInArrow(_gathered, "vault string, key string, field string, term string, tf int, positions array<int>")
 
 
 def lengths(notes: DataFrame, segment: object | None = None) -> DataFrame:
@@ -280,9 +301,11 @@ def ranked(scored: DataFrame, degrees: DataFrame, limit: int = DEFAULT_LIMIT) ->
     return best(boosted, wanted)
 
 
-def semantic(vectors: DataFrame, query: DataFrame, limit: int, dim: int = 64) -> DataFrame:
-    """``vault, key, score, rank``: notes by the greatest cosine of their chunks with the one query vector (column ``q``)."""
-    near = vectors.where(usable_vector("embedding", dim)).join(F.broadcast(query.select("q").limit(1)), F.lit(True))
+def semantic(vectors: DataFrame, query: DataFrame, limit: int, dim: int | None = None) -> DataFrame:
+    """``vault, key, score, rank``: notes by the greatest cosine of their chunks with the one query vector (column ``q``). Vectors
+    of another dimension than ``dim``, by default the query's, are not compared."""
+    one = F.broadcast(query.select("q").limit(1))
+    near = vectors.join(one, usable_vector("embedding", F.size("q") if dim is None else dim))
     scored = near.groupBy("vault", "key").agg(F.max(cosine("embedding", "q")).alias("score"))
     return best(scored, limit)
 
@@ -317,8 +340,12 @@ def with_snippets(hits: DataFrame, notes: DataFrame, text: str, chars: int = DEF
 
 
 def hits_for_keys(notes: DataFrame, keys: DataFrame, chars: int = DEFAULT_CHARS) -> DataFrame:
-    """``vault, key, title, snippet, score`` of the given ``vault, key``, absent ones left out: score 0, the body's opening."""
-    return notes.join(broadcast_bounded(keys.select("vault", "key")), ["vault", "key"], "left_semi").select("vault", "key", "title", opening("body", chars).alias("snippet"), F.lit(0.0).alias("score"))
+    """``vault, key, title, snippet, score`` of the given ``vault, key``, absent ones left out: score 0, the body's opening. Where
+    the keys have a ``rank``, the hits have it too, and are in its order."""
+    ordered = "rank" in keys.columns
+    asked = keys.select("vault", "key", *["rank"] * ordered).distinct()
+    found = notes.join(broadcast_bounded(asked), ["vault", "key"]).select("vault", "key", "title", opening("body", chars).alias("snippet"), F.lit(0.0).alias("score"), *["rank"] * ordered)
+    return found.orderBy("rank", "vault", "key") if ordered else found
 
 
 def search(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from notelake.functions.notes import WIKILINK
 from notelake.operators import graph as G
 from notelake.operators import health as H
 from notelake.operators import refresh as R
@@ -74,7 +75,9 @@ def skipped_by_dir(spark, folder):
 
 def doctor_counts(spark, folder):
     n = _n(spark, folder)
-    return H.doctor(table(spark, folder, "notes"), n, G.edges(n), table(spark, folder, "vaults"), table(spark, folder, "vectors"))
+    # one vault's store is taken away, so that a vault without vectors is among the rows
+    vectors = table(spark, folder, "vectors").where("vault <> 'atlas-handbook'")
+    return H.doctor(table(spark, folder, "notes"), n, G.edges(n), table(spark, folder, "vaults"), vectors)
 
 
 def pack_report(spark, folder):
@@ -97,6 +100,7 @@ count(*) filter (n."key" is null and list_has_any(list_slice(string_split(x."key
 from notes x left join n on n.vault = x.vault and n."key" = x."key" where ends_with(x."key", '.md') group by 1)"""
 _COVER = f"""hv as (select distinct vault, "key" from vectors where {_USABLE}), cv as (select n.vault, count(hv."key") embedded, count(*) filter (hv."key" is null and not n.reference) missing_project,
 count(*) filter (hv."key" is null and n.reference) missing_reference from n left join hv on hv.vault = n.vault and hv."key" = n."key" group by 1)"""
+_COVER_SOME = _COVER.replace("from vectors where", "from vectors where vault <> 'atlas-handbook' and")
 _L = LINKS.split("\n", 1)[1]
 
 SQL = {
@@ -105,7 +109,7 @@ SQL = {
     "needs_hash": f"""with {_DIFF} select vault, "key" from df where change in ('added', 'touched', 'changed')""",
     "refresh_report": f"""with {_DIFF} select vault, count(*) filter (change in ('added', 'changed')) indexed, count(*) filter (change = 'touched') touched,
 count(*) filter (change = 'removed') removed, count(*) filter (change = 'unchanged') unchanged from df group by 1""",
-    "apply_upsert": rf"""with {_DIFF}, b as (select distinct vault, "key" from_key, trim(unnest(regexp_extract_all(coalesce(body, ''), '\[\[([^\]\|\r\n]+)(?:\|([^\]\r\n]+))?\]\]', 1)), {WS}) target from notes),
+    "apply_upsert": rf"""with {_DIFF}, b as (select distinct vault, "key" from_key, trim(unnest(regexp_extract_all(coalesce(body, ''), '{WIKILINK}', 1)), {WS}) target from notes),
 up as (select vault, "key" from df where change in ('added', 'changed'))
 select vault, from_key, target from b where (vault, from_key) not in (select (vault, "key") from up)
 union all select distinct vault, "key", t from (select lu.vault, lu."key", unnest(targets) t from lu where (lu.vault, lu."key") in (select (vault, "key") from up)) where t is not null""",
@@ -117,15 +121,16 @@ when n.reference then 'skip' else 'embed' end plan from n full join h on n.vault
     "embedding_coverage": f"with {NOTES}, {_COVER} select * from cv",
     "audit_counts": f"with {_AUDIT} select * from au",
     "skipped_by_dir": f"""with {NOTES} select vault, string_split("key", '/')[1] dir, count(*) n from notes x where ends_with("key", '.md') and not exists (select 1 from n where n.vault = x.vault and n."key" = x."key") group by 1, 2""",
-    "doctor_counts": f"""with {_AUDIT}, {_L}, {_COVER}, dd as (select vault, bool_or(not reference) p from n group by vault, title having count(*) > 1),
+    "doctor_counts": f"""with {_AUDIT}, {_L}, {_COVER_SOME}, dd as (select vault, bool_or(not reference) p from n group by vault, title having count(*) > 1),
 du as (select vault, count(*) filter (p) ambiguous, count(*) filter (not p) ambiguous_reference from dd group by 1),
 orp as (select vault, count(*) orphans from n where not exists (select 1 from e where e.vault = n.vault and e.target = n.title) group by 1),
 br as (select vault, count(*) broken from e where not exists (select 1 from n where n.vault = e.vault and n.title = e.target)
   and not exists (select 1 from n where n.vault in (select name from vaults) and strpos(e.target, '/') > 1 and length(e.target) > strpos(e.target, '/')
   and n.vault = substr(e.target, 1, strpos(e.target, '/') - 1) and n.title = substr(e.target, strpos(e.target, '/') + 1)) group by 1)
 select au.vault, included, reference, skipped, skipped_dependency, coalesce(ambiguous, 0) ambiguous, coalesce(ambiguous_reference, 0) ambiguous_reference, coalesce(orphans, 0) orphans,
-coalesce(broken, 0) broken, coalesce(embedded, 0) embedded, coalesce(missing_project, 0) missing_project, coalesce(missing_reference, 0) missing_reference
-from au left join du using (vault) left join orp using (vault) left join br using (vault) left join cv using (vault)""",
+coalesce(broken, 0) broken, case when st.vault is not null then coalesce(embedded, 0) end embedded, coalesce(missing_project, 0) missing_project,
+case when st.vault is not null then coalesce(missing_reference, 0) else 0 end missing_reference
+from au left join du using (vault) left join orp using (vault) left join br using (vault) left join cv using (vault) left join (select distinct vault from vectors where vault <> 'atlas-handbook') st using (vault)""",
     "pack_report": f"with {NOTES} select vault, count(*) filter (not reference) packed, count(*) filter (reference) skipped_reference from n group by 1",
     "debounce_batches": """with recursive o as (select update_id, vault, epoch_us(received_at) t, row_number() over (partition by vault order by received_at, update_id) r from note_updates where received_at is not null),
 b as (select update_id, vault, t, r, t s from o where r = 1 union all
