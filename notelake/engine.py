@@ -43,7 +43,8 @@ class Engine:
         if not asked:
             return R.report(self.spark.createDataFrame([], "vault string, key string, change string"))
         if full:
-            self._publish(V.read_vaults(self.spark, asked), sorted(asked))
+            # read once, whatever is derived from it
+            self._publish(cut(V.read_vaults(self.spark, asked)), sorted(asked))
             return R.report(self.store.read("notes").select(*KEY, F.lit("added").alias("change")))
         state = self.store.read("state", list(asked))
         listing = V.read_vaults(self.spark, asked, bodies=False)
@@ -71,10 +72,8 @@ class Engine:
             return apply(self.store.read(name, vaults), changes, make(fresh))
 
         tables = {"notes": notes, "edges": table("edges", G.edges), "postings": table("postings", S.postings), "lengths": table("lengths", S.lengths)}
+        tables["degrees"] = G.degrees(notes, tables["edges"])
         tables["state"] = notes.select(*KEY, "mtime_ns", "hash")
-        vectors = self.store.read("vectors", vaults)
-        if vectors is not None:
-            tables["vectors"] = vectors
         self.store.publish(tables, vaults, keep=list(self.registry.list()), index_version=R.INDEX_VERSION)
 
     # -- tables --
@@ -109,16 +108,20 @@ class Engine:
     def list(self, vault: str | None = None) -> DataFrame:
         return self.notes(vault).select("vault", "key", "title", "reference").orderBy("vault", "title", "key")
 
-    def search(self, text: str, vaults: list[str] | None = None, limit: int = S.DEFAULT_LIMIT, total: bool = False, chars: int = 150, query_vector: list[float] | None = None) -> DataFrame:
+    def search(
+        self, text: str, vaults: list[str] | None = None, limit: int = S.DEFAULT_LIMIT, total: bool = False, chars: int = 150, query_vector: list[float] | None = None, refresh: bool = False
+    ) -> DataFrame:
         """``vault, key, title, score, rank, snippet, source, license``: up to ``limit`` hits per vault, or of all together. Nothing
-        indexed gives no hits."""
+        indexed gives no hits; with ``refresh`` what is searched is brought up to date first."""
+        if refresh:
+            self.refresh(vaults=vaults)
         if self.store.current() is None:
             return S.empty_hits(self.spark)
         notes = self._of("notes", vaults)
         pick = lambda t: self._of(t, vaults)
         vectors = self.store.read("vectors", vaults)
         q = None if query_vector is None or vectors is None else self.spark.createDataFrame([(query_vector,)], "q array<double>")
-        hits = S.search(notes, G.degrees(notes, pick("edges")), text, limit, vectors, q, (pick("postings"), pick("lengths")))
+        hits = S.search(notes, pick("degrees"), text, limit, vectors, q, (pick("postings"), pick("lengths")))
         if total:
             hits = S.total(hits, S.clamp(limit))
         shown = S.with_snippets(hits, notes, text, chars)
@@ -220,10 +223,8 @@ class Engine:
         counts = self.spark.createDataFrame([r for r in plan.groupBy("vault", "plan").agg(F.count("*").alias("n")).collect()], "vault string, plan string, n bigint")
         touched = sorted(r["vault"] for r in gone.select("vault").distinct().collect())
         if touched:
-            # rows of the other vaults stay where they are
-            tables = {t: self.store.read(t, touched) for t in ("notes", "edges", "postings", "lengths", "state")}
-            tables["vectors"] = vectors.where(F.col("vault").isin(*touched))
-            self.store.publish(tables, touched, index_version=R.INDEX_VERSION, model=[model, dim])
+            # other tables and the rows of other vaults stay where they are
+            self.store.publish({"vectors": vectors.where(F.col("vault").isin(*touched))}, touched, model=[model, dim])
         return counts
 
     def pack(self, vault: str, target: str, include_reference: bool = False) -> dict:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from notelake.functions.notes import cosine, degree_boost, usable_vector
 from notelake.functions.snippets import DEFAULT_CHARS, opening, snippet
 from notelake.functions.tokens import tokens
-from notelake.session import at_most, broadcast_bounded
+from notelake.session import at_most, broadcast_bounded, cut
 
 # Constants of the BM25 formula, of the rank fusion, limits of a query and of the pool that is re-ranked.
 K1, B = 1.2, 0.75
@@ -227,7 +227,7 @@ def few_vaults(table: DataFrame, most: int = 2_000) -> bool:
 
 
 def bm25(fields: DataFrame, query: Node, few: bool = False) -> DataFrame:
-    """``vault, key, score`` of the notes that match, from ``matches``. The notes are gone through twice: once for the
+    """``vault, key, score`` of the notes that match, from ``matches``, which are gone through twice: once for the
     statistics of each vault (a row per vault and field, broadcast where vaults are ``few``), once for the scores."""
     leaves = query.leaves()
     terms = sorted({t for leaf, _ in leaves if leaf.fields != ("path",) for t in leaf.terms})
@@ -289,7 +289,8 @@ def lexical(notes: DataFrame, text: str, index: tuple[DataFrame, DataFrame] | No
     query = parse_query(text)
     terms = sorted({t for leaf, _ in query.leaves() if leaf.fields != ("path",) for t in leaf.terms})
     few = few_vaults(index[1] if index else notes)
-    return bm25(matches_in_index(*index, terms) if index else matches(notes, terms), query, few)
+    # what is found is small and read twice, so the bodies are gone through once
+    return bm25(matches_in_index(*index, terms) if index else cut(matches(notes, terms)), query, few)
 
 
 def ranked(scored: DataFrame, degrees: DataFrame, limit: int = DEFAULT_LIMIT) -> DataFrame:

@@ -9,4 +9,4 @@ _MODULES = [references, graph_queries, search_queries, refresh_queries]
 
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 SQL = {name: q for m in _MODULES for name, q in m.SQL.items()}
-FLAGSHIP = "fts_bm25_topk"
+FLAGSHIP = "fts_stored_topk"

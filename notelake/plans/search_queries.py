@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from notelake.functions import chunks as C
 from notelake.functions.notes import cosine as cosine_of
-from notelake.functions.notes import source_label, usable_vector
+from notelake.functions.notes import markdown_snippet, source_label, usable_vector
 from notelake.functions.tokens import runs, tokens
 from notelake.operators import graph as G
 from notelake.operators import search as S
-from notelake.plans.prelude import LINKS, NOTES
+from notelake.plans.prelude import LINKS, NOTES, WS
+from notelake.session import shared_folder
+from notelake.sources.index import PARTS, TextIndex
 from notelake.sources.tables import table
 
 TEXT = "replica migration webhook"
@@ -72,6 +77,35 @@ def fts_written_index(spark, folder):
     return S.best(found, LIMIT).select("vault", "key", "score", F.col("rank").cast("long").alias("rank"))
 
 
+def _index(spark, folder) -> TextIndex:
+    """The written index of a folder's notes, built by the first query of a session that asks for it."""
+    name = hashlib.sha256(f"{spark.sparkContext.applicationId} {folder}".encode()).hexdigest()[:16]
+    index = TextIndex(spark, f"{shared_folder(spark)}/text-index-{name}")
+    return index if index.exists() else index.build(_n(spark, folder))
+
+
+def index_build(spark, folder):
+    index = _index(spark, folder)
+    parts = [index.read(p).agg(F.count("*").alias("rows")).select(F.lit(p).alias("part"), "rows") for p in PARTS]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def fts_stored_topk(spark, folder):
+    return _index(spark, folder).search(TEXT, LIMIT).select("vault", "key", "score", F.col("rank").cast("long").alias("rank"))
+
+
+def search_without_index(spark, folder):
+    return S.empty_hits(spark)
+
+
+def markdown_snippets(spark, folder):
+    return _n(spark, folder).select("vault", "key", markdown_snippet(F.concat(F.lit("<b>"), "title", F.lit("</b>\n"), F.substring("body", 1, 80))).alias("shown"))
+
+
+def highlighted(spark, folder):
+    return _words_only(spark, folder).select("vault", "key")
+
+
 def cosine(spark, folder):
     v = table(spark, folder, "embeddings")
     q = v.orderBy("vec_id").limit(1).select(F.col("embedding").alias("q"))
@@ -170,7 +204,17 @@ sc as (select p.vault, p."key", round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0
   join k on k.vault = p.vault and k."key" = p."key" and k.field = p.field group by 1, 2) {_top('sc')}"""
 _WORDS = f"{_RANKED}, fu as (select vault, \"key\", round(1.0 / (60 + rank), 6) score, rank from rk)"
 
+_CHUNKS = f"""{NOTES}, tb as (select vault, "key", title, hash, trim(body, {WS}) b from n),
+step as (select vault, "key", title, hash, b, 1 s, 0 e, 0 ix from tb where length(b) > 0 union all
+  select vault, "key", title, hash, b, nx, ed, ix + 1 from (select vault, "key", title, hash, b, ix, e + 1 nx, case when length(b) - e <= 900 then length(b)
+    when blank > 0 then e + blank when line > 0 then e + line - 1 else e + 900 end ed from (select *,
+      case when strpos(reverse(substr(b, e + 450, 451)), chr(10)||chr(10)) > 0 then 899 - strpos(reverse(substr(b, e + 450, 451)), chr(10)||chr(10)) + 1 else 0 end blank,
+      case when strpos(reverse(substr(b, e + 451, 450)), chr(10)) > 0 then 900 - strpos(reverse(substr(b, e + 451, 450)), chr(10)) + 1 else 0 end line from step where e < length(b)))),
+pc as (select vault, "key", title, hash, row_number() over (partition by vault, "key" order by ix) - 1 chunk_ix, trim(substr(b, s, e - s + 1), {WS}) chunk from step where ix > 0 and length(trim(substr(b, s, e - s + 1), {WS})) > 0)"""
 SQL = {
+    "chunk": f'with recursive {_CHUNKS} select vault, "key", cast(chunk_ix as int) chunk_ix, chunk from pc',
+    "passages": f"""with recursive {_CHUNKS} select vault, "key", hash, cast(chunk_ix as int) chunk_ix, 'passage: '||case when chunk_ix = 0 then title||chr(10)||chr(10)||chunk else chunk end passage from pc
+union all select vault, "key", hash, 0, 'passage: '||title from n where length(trim(body, {WS})) = 0""",
     "tokenize": f"""with {_TOKENS} select vault, "key", count(*) n, count(distinct term) terms, max(pos) "last" from tok where field = 'body' group by 1, 2""",
     "text_runs": rf"""with {NOTES} select vault, "key", len(regexp_extract_all(title, '[\x{{0E00}}-\x{{0E7F}}]+|[^\x{{0E00}}-\x{{0E7F}}]+')) runs, title whole from n""",
     "term_stats": f"""with {_TOKENS} select field, term, count(*) tf, count(distinct vault||'/'||"key") notes from tok group by 1, 2""",
@@ -181,6 +225,13 @@ SQL = {
     "fts_title_only": f"""with {_bm25(['readme'], "p.field = 'title'")} {_top('sc')}""",
     "fts_boolean": _BOOL,
     "fts_ranked_topk": f'with {_RANKED} select vault, "key", score, rank from rk',
+    "fts_stored_topk": f'with {_RANKED} select vault, "key", score, rank from rk',
+    "index_build": f"""with {_TOKENS}, {LINKS.split(chr(10), 1)[1]} select 'postings' part, count(*) "rows" from (select distinct vault, "key", field, term from tok)
+union all select 'lengths', count(*) from k union all select 'keys', count(*) from n
+union all select 'degrees', count(*) from (select vault, from_key from e union select n.vault, n."key" from e join n on n.vault = e.vault and n.title = e.target)""",
+    "search_without_index": """select '' vault, '' "key", 0.0::double score, 1 rank where false""",
+    "markdown_snippets": rf"""with {NOTES} select vault, "key", regexp_replace('**'||title||'**'||chr(10)||replace(replace(substr(body, 1, 80), '<b>', '**'), '</b>', '**'), '[\r\n]+', ' ', 'g') shown from n""",
+    "highlighted": f'with {_WORDS} select vault, "key" from fu',
     "cosine": """with q as (select cast(embedding as double[]) q from embeddings order by vec_id limit 1)
 select vec_id, round(coalesce(list_cosine_similarity(cast(embedding as double[]), q), 0), 6) cosine from embeddings, q""",
     "knn_max_chunk": f"with {_KNN} {_top('cs')}",
@@ -205,6 +256,11 @@ QUERIES = {
     "fts_title_only": _lexical(TITLE),
     "fts_boolean": _lexical(BOOLEAN),
     "fts_ranked_topk": fts_ranked_topk,
+    "fts_stored_topk": fts_stored_topk,
+    "index_build": index_build,
+    "search_without_index": search_without_index,
+    "markdown_snippets": markdown_snippets,
+    "highlighted": highlighted,
     "cosine": cosine,
     "knn_max_chunk": knn_max_chunk,
     "hybrid_rrf": _hybrid(TEXT),

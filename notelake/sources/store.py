@@ -1,20 +1,26 @@
-"""Derived tables in snapshots by vault: a refresh writes new folders for the vaults it touched, and one small file names
+"""Derived tables in snapshots by table and vault: a refresh writes new folders for what it touched, and one small file names
 the current folder of each.
 
 Readers never see half a refresh: all tables of a vault are written before the pointer moves, and it moves by one atomic
-rename. Vaults that did not change are not written again. Postings are sorted by term within a vault, so a search skips
-most of their row groups."""
+rename. Vaults and tables that did not change are not written again. Writers of different vaults or tables do not undo each
+other: each changes its own entries of the pointer, one at a time behind a lock file. Postings are sorted by term within a
+vault, so a search skips most of their row groups."""
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-TABLES = ("notes", "edges", "postings", "lengths", "state", "vectors")
+TABLES = ("notes", "edges", "degrees", "postings", "lengths", "state", "vectors")
+#: Seconds after which the lock of a writer that died is broken.
+LOCK_SECONDS = 60
 
 
 class Store:
@@ -27,7 +33,7 @@ class Store:
         return self._jvm.org.apache.hadoop.fs.Path(p)
 
     def current(self) -> dict | None:
-        """The pointer: ``vaults`` (name to snapshot), ``schemas``, and what else was put with it."""
+        """The pointer: ``at`` (table to vault to snapshot), ``schemas``, and what else was put with it."""
         p = self._path(f"{self.root}/CURRENT")
         if not self._fs.exists(p):
             return None
@@ -47,7 +53,7 @@ class Store:
         if now is None or table not in now["schemas"]:
             return None
         schema = StructType.fromJson(now["schemas"][table])
-        wanted = {v: s for v, s in now["vaults"].items() if vaults is None or v in vaults}
+        wanted = {v: s for v, s in now["at"].get(table, {}).items() if vaults is None or v in vaults}
         folders = [f for v, s in wanted.items() if self._fs.exists(self._path(f := self._folder(table, v, s)))]
         if not folders:
             return self.spark.createDataFrame([], schema)
@@ -55,19 +61,44 @@ class Store:
         return self.spark.read.schema(full).option("basePath", f"{self.root}/{table}").parquet(*folders).select(*schema.fieldNames())
 
     def publish(self, tables: dict[str, DataFrame], vaults: list[str], keep: list[str] | None = None, **meta) -> str:
-        """Writes the tables (rows of ``vaults``) and makes them current for these vaults; of the others only ``keep`` stay."""
+        """Writes the tables (rows of ``vaults``), side by side, and makes them current for these vaults; of the others only
+        ``keep`` stay."""
         name = uuid.uuid4().hex
-        now = self.current() or {"vaults": {}, "schemas": {}}
-        for t, df in tables.items():
-            if t not in TABLES:
-                raise ValueError(f"no such table: {t}")
-            out = df.repartition("vault", "term").sortWithinPartitions("vault", "term", "key") if t == "postings" else df
+        if unknown := set(tables) - set(TABLES):
+            raise ValueError(f"no such table: {sorted(unknown)}")
+
+        def write(t: str) -> None:
+            order = ["vault", "term", "key"]
+            out = tables[t].repartitionByRange(*order).sortWithinPartitions(*order) if t == "postings" else tables[t]
             out.withColumn("snapshot", F.lit(name)).write.mode("append").partitionBy("vault", "snapshot").parquet(f"{self.root}/{t}")
-            now["schemas"][t] = json.loads(df.schema.json())
-        placed = {v: s for v, s in now["vaults"].items() if keep is None or v in keep} | dict.fromkeys(vaults, name)
-        self._point(now | {"vaults": placed} | meta)
+
+        with ThreadPoolExecutor(len(TABLES)) as pool:
+            list(pool.map(write, tables))
+
+        def moved(now: dict) -> dict:
+            at = {t: {v: s for v, s in of.items() if keep is None or v in keep} for t, of in now["at"].items()}
+            for t in tables:
+                at[t] = at.get(t, {}) | dict.fromkeys(vaults, name)
+            return now | {"at": at, "schemas": now["schemas"] | {t: json.loads(df.schema.json()) for t, df in tables.items()}} | meta
+
+        self._change(moved)
         return name
 
+    def _change(self, moved: Callable[[dict], dict]) -> None:
+        """Moves the pointer from what it is now, with no other writer in between."""
+        lock = self._path(f"{self.root}/.LOCK")
+        self._fs.mkdirs(self._path(self.root))
+        began = time.monotonic()
+        while not self._fs.createNewFile(lock):
+            if time.monotonic() - began > LOCK_SECONDS:
+                self._fs.delete(lock, False)
+                began = time.monotonic()
+            time.sleep(0.05)
+        try:
+            self._point(moved(self.current() or {"at": {}, "schemas": {}}))
+        finally:
+            self._fs.delete(lock, False)
+
     def _point(self, now: dict) -> None:
         temporary, target = self._path(f"{self.root}/.CURRENT-{uuid.uuid4().hex}"), self._path(f"{self.root}/CURRENT")
         stream = self._fs.create(temporary, True)
@@ -81,9 +112,10 @@ class Store:
 
     def vacuum(self) -> int:
         """Deletes the folders of snapshots that are not current; how many."""
-        now, n = (self.current() or {"vaults": {}}), 0
-        live = {(self._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(v), s) for v, s in now["vaults"].items()}
+        now, n = (self.current() or {"at": {}}), 0
+        escape = self._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
         for t in TABLES:
+            live = {(escape(v), s) for v, s in now["at"].get(t, {}).items()}
             top = self._path(f"{self.root}/{t}")
             if not self._fs.exists(top):
                 continue

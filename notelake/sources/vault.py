@@ -100,6 +100,16 @@ def _in_main(scope: Scope, key: str) -> bool:
     return not (scope.config.max_depth and len(parts) > scope.config.max_depth)
 
 
+def in_scope(scope: Scope, key: str) -> bool:
+    """Whether a key is one of the scope's notes, by the rules on its own path; no folder is listed."""
+    if not is_note_name(key.rsplit("/", 1)[-1]):
+        return False
+    below = next((key[len(r.prefix) + 1 :] for r in scope.includes if r.present and key.startswith(r.prefix + "/")), None)
+    if below is not None and not any(p.startswith(".") for p in below.split("/")):
+        return True
+    return _in_main(scope, key)
+
+
 def _row(scope: Scope, vault: str, key: str, fields: list[str]) -> tuple | None:
     path = os.path.join(scope.root, key)
     try:
@@ -113,6 +123,8 @@ def _row(scope: Scope, vault: str, key: str, fields: list[str]) -> tuple | None:
         return None
     except UnicodeEncodeError:
         return None
+    except UnicodeDecodeError as e:
+        raise NoteError(f"{path!r} is not UTF-8: {e.reason} at byte {e.start}") from e
     return tuple(values[f] for f in fields)
 
 
@@ -252,7 +264,7 @@ def put_note(root: str, key: str, body: str) -> bool:
     os.makedirs(os.path.dirname(path), exist_ok=True)
     with open(path, "w", encoding="utf-8", newline="") as f:
         f.write(body)
-    return key in set(Scope(root).keys())
+    return in_scope(Scope(root), key)
 
 
 def get_note(root: str, key: str) -> tuple[str, str, bool]:

@@ -72,7 +72,7 @@ def watch(
                 for channel in channels:
                     channel.send({"vault": vault, **counts})
 
-    writer = stream_changes(spark, vaults).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    writer = relevant(stream_changes(spark, vaults)).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=trigger)
     return writer.start()
 

@@ -40,13 +40,13 @@ def test_refresh_does_the_work_once(engine, tmp_path):
     assert engine.search("cats").count() == 0
     assert counts(engine.refresh()) == {"work": (3, 0, 0), "ideas": (2, 0, 0)}
     assert counts(engine.refresh()) == {}
-    before = engine.store.current()["vaults"]
+    before = engine.store.current()["at"]["notes"]
     time.sleep(0.02)
     put(tmp_path / "work", {"A.md": "birds"})
     os.utime(tmp_path / "work" / "_u.md")
     os.remove(tmp_path / "work" / "sub" / "B.md")
     assert counts(engine.refresh()) == {"work": (1, 1, 1)}
-    after = engine.store.current()["vaults"]
+    after = engine.store.current()["at"]["notes"]
     assert before["ideas"] == after["ideas"] and before["work"] != after["work"]
     assert counts(engine.refresh()) == {}
     assert [r["key"] for r in engine.search("birds").collect()] == ["A.md"]
@@ -98,6 +98,58 @@ def test_embedding(engine, tmp_path):
         engine.embed(embedder, "other", 3)
 
 
+def test_meaning_of_any_dimension(engine):
+    engine.refresh()
+    notes = engine.store.current()["at"]["notes"]
+    engine.embed(lambda texts: [[float("cats" in t), 0.5, *[0.0] * 382] for t in texts], "wide", 384)
+    # only the vectors were written
+    assert engine.store.current()["at"]["notes"] == notes
+    hits = engine.search("zzz", vaults=["work"], query_vector=[1.0, 0.0, *[0.0] * 382]).collect()
+    assert [r["key"] for r in hits][:2] == ["A.md", "sub/B.md"]
+    assert engine.search("zzz", query_vector=[1.0, 0.0]).count() == 0
+    told = {r["vault"]: r for r in engine.doctor().collect()}
+    assert told["work"]["embedded"] == 3 and told["ideas"]["missing_reference"] == 1
+
+
+def test_no_vectors_at_all(engine):
+    engine.refresh()
+    told = {r["vault"]: (r["embedded"], r["missing_project"], r["missing_reference"]) for r in engine.doctor().collect()}
+    assert told == {"work": (None, 3, 0), "ideas": (None, 1, 0)}
+
+
+def test_search_may_refresh_first(engine, tmp_path):
+    assert {r["key"] for r in engine.search("cats", vaults=["work"], refresh=True).collect()} == {"A.md", "sub/B.md"}
+    put(tmp_path / "work", {"New.md": "cats"})
+    assert engine.search("cats", vaults=["work"]).count() == 2 and engine.search("cats", vaults=["work"], refresh=True).count() == 3
+
+
+def test_an_unreadable_note_is_named(engine, tmp_path):
+    (tmp_path / "work" / "bad.md").write_bytes(b"\xff\xfe no text")
+    with pytest.raises(Exception, match="bad.md"):
+        engine.refresh()
+
+
+def test_writers_do_not_undo_each_other(spark, tmp_path):
+    from notelake.sources.store import Store
+
+    one, two = Store(spark, str(tmp_path / "s")), Store(spark, str(tmp_path / "s"))
+    df = lambda v: spark.createDataFrame([(v, "k")], "vault string, key string")
+    one.publish({"notes": df("a")}, ["a"])
+    two.publish({"notes": df("b")}, ["b"])
+    one.publish({"vectors": df("a")}, ["a"])
+    assert {r["vault"] for r in two.read("notes").collect()} == {"a", "b"} and two.read("vectors").count() == 1
+
+
+def test_scope_of_one_path(tmp_path):
+    from notelake.sources.scope import Scope
+    from notelake.sources.vault import in_scope
+
+    put(tmp_path, {"a.md": "", "x/b.md": "", "x/.h/c.md": "", "node_modules/d.md": "", "inc/.gitignore": "*", "inc/e.md": "", "inc/.f.md": "", ".gitignore": "skip/", "skip/g.md": "", "t.txt": "", "vault.toml": "[scope]\ninclude = ['inc']\n"})
+    scope = Scope(tmp_path)
+    every = ["a.md", "x/b.md", "x/.h/c.md", "node_modules/d.md", "inc/e.md", "inc/.f.md", "skip/g.md", "t.txt"]
+    assert {k for k in every if in_scope(scope, k)} == set(scope.keys())
+
+
 def test_change_reader(tmp_path):
     put(tmp_path, {"A.md": "1"})
     reader = ChangeReader({"path": str(tmp_path), "name": "v"})
