@@ -116,7 +116,7 @@ def _row(scope: Scope, vault: str, key: str, fields: list[str]) -> tuple | None:
         note = Note(key, path, scope.is_reference(key))
         values = {"vault": vault, "key": key, "title": note.title, "reference": note.reference, "mtime_ns": os.stat(path).st_mtime_ns}
         if "body" in fields or "hash" in fields:
-            body = Path(path).read_text(encoding="utf-8", errors="strict")
+            body = Path(path).read_bytes().decode("utf-8")
             values |= {"body": body, "hash": content_hash(body)}
         key.encode("utf-8")
     except FileNotFoundError:
@@ -272,7 +272,7 @@ def get_note(root: str, key: str) -> tuple[str, str, bool]:
     path = resolve_key(root, key)
     if not os.path.isfile(path):
         raise NoteError(f"there is no note {key!r}")
-    return Path(path).read_text(encoding="utf-8"), Note(key, path, False).title, Scope(root).is_reference(key)
+    return Path(path).read_bytes().decode("utf-8"), Note(key, path, False).title, Scope(root).is_reference(key)
 
 
 def delete_note(root: str, key: str) -> None:
