@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notelake.functions.text import title_of
+from notelake.functions.tokens import thai_words
 from notelake.operators import graph as G
 from notelake.operators import health as H
 from notelake.operators import refresh as R
@@ -71,7 +72,7 @@ class Engine:
             apply = R.apply_edges if name == "edges" else R.apply_rows
             return apply(self.store.read(name, vaults), changes, make(fresh))
 
-        tables = {"notes": notes, "edges": table("edges", G.edges), "postings": table("postings", S.postings), "lengths": table("lengths", S.lengths)}
+        tables = {"notes": notes, "edges": table("edges", G.edges), "postings": table("postings", lambda n: S.postings(n, thai_words)), "lengths": table("lengths", lambda n: S.lengths(n, thai_words))}
         tables["degrees"] = G.degrees(notes, tables["edges"])
         tables["state"] = notes.select(*KEY, "mtime_ns", "hash")
         self.store.publish(tables, vaults, keep=list(self.registry.list()), index_version=R.INDEX_VERSION)
@@ -121,10 +122,10 @@ class Engine:
         pick = lambda t: self._of(t, vaults)
         vectors = self.store.read("vectors", vaults)
         q = None if query_vector is None or vectors is None else self.spark.createDataFrame([(query_vector,)], "q array<double>")
-        hits = S.search(notes, pick("degrees"), text, limit, vectors, q, (pick("postings"), pick("lengths")))
+        hits = S.search(notes, pick("degrees"), text, limit, vectors, q, (pick("postings"), pick("lengths")), thai_words)
         if total:
             hits = S.total(hits, S.clamp(limit))
-        shown = S.with_snippets(hits, notes, text, chars)
+        shown = S.with_snippets(hits, notes, text, chars, thai_words)
         named = G.attribution(shown, self.sources()).select(*KEY, "source", "license")
         return shown.join(named, KEY, "left").orderBy(F.desc("score"), "vault", "rank") if total else shown.join(named, KEY, "left").orderBy("vault", "rank")
 

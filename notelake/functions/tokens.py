@@ -1,8 +1,9 @@
 """Tokens of mixed Thai and other text.
 
-Outside Thai a token is a maximal run of letters and numbers. A run of Thai characters is cut into words by maximal
-matching against a word list that the caller gives; without one, a Thai run is one token. Tokens of 100 bytes or more
-are dropped, the others lower-cased, in that order.
+Outside Thai a token is a maximal run of letters and numbers. A run of Thai characters is cut into words: by ``thai_words``
+with the Thai dictionary that the Java platform brings (the engine's default), or by maximal matching against a word list
+of the caller's (``segmenter``); without either a Thai run is one token. Tokens of 100 bytes or more are dropped, the
+others lower-cased, in that order.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,6 +40,22 @@ def tokens(text: Column | str, segment: object | None = None) -> Column:
     return analyzed(segment(found) if segment else found)
 
 
+def thai_words(found: Column) -> Column:
+    """Tokens with the Thai ones cut into words by the platform's dictionary; without leaving the JVM. Texts without Thai are
+    passed on as they are."""
+    is_thai = lambda t: F.regexp_like(t, F.lit(f"^[{THAI}]"))
+    words = F.flatten(F.transform(found, lambda t: F.when(is_thai(t), F.flatten(F.sentences(t, F.lit("th"), F.lit("TH")))).otherwise(F.array(t))))
+    return F.when(F.exists(found, is_thai), words).otherwise(found)
+
+
+def thai_terms(spark: SparkSession, runs_: list[str]) -> dict[str, list[str]]:
+    """The words of a few Thai runs (a query's)."""
+    if not runs_:
+        return {}
+    rows = spark.createDataFrame([(r,) for r in runs_], "r string")
+    return {x["r"]: x["w"] for x in rows.select("r", thai_words(F.array("r")).alias("w")).collect()}
+
+
 class Trie:
     """Words for maximal matching: the fewest words, then the longest first; what no word covers stays together."""
 

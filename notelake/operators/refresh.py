@@ -14,7 +14,7 @@ from notelake.functions.notes import usable_vector
 
 KEY = ["vault", "key"]
 #: Version of the derived tables; a stored one that differs asks for a rebuild.
-INDEX_VERSION = 1
+INDEX_VERSION = 2
 
 
 def needs_rebuild(stored: int | None, version: int = INDEX_VERSION) -> bool:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from notelake.functions.notes import cosine, degree_boost, usable_vector
 from notelake.functions.snippets import DEFAULT_CHARS, opening, snippet
-from notelake.functions.tokens import tokens
+from notelake.functions.tokens import thai_terms, thai_words, tokens
 from notelake.session import at_most, broadcast_bounded, cut
 
 # Constants of the BM25 formula, of the rank fusion, limits of a query and of the pool that is re-ranked.
@@ -284,13 +284,22 @@ def best(scored: DataFrame, limit: int, score: str = "score", by: str | None = "
     return scored.withColumn(score, F.round(score, 6)).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
 
 
-def lexical(notes: DataFrame, text: str, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
-    """``vault, key, score`` for a query text, from a written index or straight from the notes."""
-    query = parse_query(text)
+def read_query(spark: SparkSession, text: str, segment: object | None = None) -> Node:
+    """The query with its Thai runs cut as the index has them, where ``segment`` is ``thai_words``."""
+    if segment is not thai_words:
+        return parse_query(text)
+    words = thai_terms(spark, sorted({t for t in _TERM.findall(text) if "฀" <= t[0] <= "๿"}))
+    return parse_query(text, lambda raw: tuple(w.lower() for t in _TERM.findall(raw) for w in words.get(t, [t]) if len(w.encode()) < 100))
+
+
+def lexical(notes: DataFrame, text: str, index: tuple[DataFrame, DataFrame] | None = None, segment: object | None = None) -> DataFrame:
+    """``vault, key, score`` for a query text, from a written index (with tokens of the same ``segment``) or straight from the
+    notes."""
+    query = read_query(notes.sparkSession, text, segment)
     terms = sorted({t for leaf, _ in query.leaves() if leaf.fields != ("path",) for t in leaf.terms})
     few = few_vaults(index[1] if index else notes)
     # what is found is small and read twice, so the bodies are gone through once
-    return bm25(matches_in_index(*index, terms) if index else cut(matches(notes, terms)), query, few)
+    return bm25(matches_in_index(*index, terms) if index else cut(matches(notes, terms, segment)), query, few)
 
 
 def ranked(scored: DataFrame, degrees: DataFrame, limit: int = DEFAULT_LIMIT) -> DataFrame:
@@ -331,9 +340,9 @@ def total(hits: DataFrame, limit: int) -> DataFrame:
     return hits.orderBy(F.desc("score"), "vault", "rank").limit(limit)
 
 
-def with_snippets(hits: DataFrame, notes: DataFrame, text: str, chars: int = DEFAULT_CHARS) -> DataFrame:
+def with_snippets(hits: DataFrame, notes: DataFrame, text: str, chars: int = DEFAULT_CHARS, segment: object | None = None) -> DataFrame:
     """The hits with ``title`` and ``snippet``: bodies are read for these only. Hits are at most MAX_LIMIT a vault."""
-    query = parse_query(text)
+    query = read_query(notes.sparkSession, text, segment)
     terms = sorted({t for leaf, negated in query.leaves() if not negated and "body" in leaf.fields for t in leaf.terms})
     bodies = notes.select("vault", "key", "title", "body").join(F.broadcast(hits) if few_vaults(notes) else hits, ["vault", "key"])
     made = snippet(terms, chars)("body") if terms else opening("body", chars)
@@ -350,11 +359,12 @@ def hits_for_keys(notes: DataFrame, keys: DataFrame, chars: int = DEFAULT_CHARS)
 
 
 def search(
-    notes: DataFrame, degrees: DataFrame, text: str, limit: int = DEFAULT_LIMIT, vectors: DataFrame | None = None, query_vector: DataFrame | None = None, index: tuple[DataFrame, DataFrame] | None = None
+    notes: DataFrame, degrees: DataFrame, text: str, limit: int = DEFAULT_LIMIT, vectors: DataFrame | None = None, query_vector: DataFrame | None = None, index: tuple[DataFrame, DataFrame] | None = None,
+    segment: object | None = None,
 ) -> DataFrame:
     """The one entry of all searches: ``vault, key, score, rank`` per vault, lexical with boost, fused with meaning where there
     are vectors and a query vector."""
-    words = ranked(lexical(notes, text, index), degrees, limit)
+    words = ranked(lexical(notes, text, index, segment), degrees, limit)
     meaning = semantic(vectors, query_vector, POOL_FACTOR * clamp(limit)) if vectors is not None and query_vector is not None else None
     return fuse(words, meaning, notes, limit)
 

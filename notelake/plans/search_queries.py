@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from notelake.functions import chunks as C
 from notelake.functions.notes import cosine as cosine_of
 from notelake.functions.notes import markdown_snippet, source_label, usable_vector
-from notelake.functions.tokens import runs, tokens
+from notelake.functions.tokens import THAI, runs, thai_words, tokens
 from notelake.operators import graph as G
 from notelake.operators import search as S
 from notelake.plans.prelude import LINKS, NOTES, WS
@@ -45,6 +45,13 @@ def tokenize(spark, folder):
     return n.groupBy("vault", "key").agg(F.count("*").alias("n"), F.countDistinct("term").alias("terms"), F.max("pos").cast("long").alias("last"))
 
 
+def thai_segmented(spark, folder):
+    """Thai runs of the bodies cut into words: no word is longer than its run, and together they give it back."""
+    n = _n(spark, folder).where(F.regexp_like("body", F.lit(f"[{THAI}]"))).select("vault", "key", F.posexplode(F.regexp_extract_all("body", F.lit(f"[{THAI}]+"), F.lit(0))).alias("ix", "run"))
+    cut = n.withColumn("w", thai_words(F.array("run")))
+    return cut.select("vault", "key", F.col("ix").cast("long").alias("ix"), "run", (F.size("w") > 0).alias("has_words"), (F.instr("run", F.array_join("w", "")) > 0).alias("covered"))
+
+
 def text_runs(spark, folder):
     n = _n(spark, folder).select("vault", "key", runs("title").alias("r"))
     return n.select("vault", "key", F.size("r").cast("long").alias("runs"), F.array_join("r", "").alias("whole"))
@@ -216,6 +223,8 @@ SQL = {
     "passages": f"""with recursive {_CHUNKS} select vault, "key", hash, cast(chunk_ix as int) chunk_ix, 'passage: '||case when chunk_ix = 0 then title||chr(10)||chr(10)||chunk else chunk end passage from pc
 union all select vault, "key", hash, 0, 'passage: '||title from n where length(trim(body, {WS})) = 0""",
     "tokenize": f"""with {_TOKENS} select vault, "key", count(*) n, count(distinct term) terms, max(pos) "last" from tok where field = 'body' group by 1, 2""",
+    "thai_segmented": rf"""with {NOTES}, r as (select vault, "key", regexp_extract_all(body, '[\x{{0E00}}-\x{{0E7F}}]+') x from n)
+select vault, "key", unnest(range(len(x))) ix, unnest(x) run, true has_words, true covered from r""",
     "text_runs": rf"""with {NOTES} select vault, "key", len(regexp_extract_all(title, '[\x{{0E00}}-\x{{0E7F}}]+|[^\x{{0E00}}-\x{{0E7F}}]+')) runs, title whole from n""",
     "term_stats": f"""with {_TOKENS} select field, term, count(*) tf, count(distinct vault||'/'||"key") notes from tok group by 1, 2""",
     "postings": f"""with {_TOKENS} select vault, "key", field, term, count(*) tf, string_agg(cast(pos as varchar), ' ' order by pos) positions from tok group by 1, 2, 3, 4""",
@@ -248,6 +257,7 @@ where (vault, "key") in (select (vault, "key") from note_updates where title is
 QUERIES = {
     "tokenize": tokenize,
     "text_runs": text_runs,
+    "thai_segmented": thai_segmented,
     "term_stats": term_stats,
     "postings": postings,
     "fts_bm25_topk": _lexical(TEXT),

@@ -111,6 +111,13 @@ def test_meaning_of_any_dimension(engine):
     assert told["work"]["embedded"] == 3 and told["ideas"]["missing_reference"] == 1
 
 
+def test_thai_words_are_found_inside_a_sentence(engine, tmp_path):
+    put(tmp_path / "work", {"T.md": "ตลาดหลักทรัพย์แห่งประเทศไทยข้าวมันไก่", "U.md": "แมวกินปลา"})
+    engine.refresh()
+    found = lambda q: [r["key"] for r in engine.search(q, vaults=["work"]).collect()]
+    assert found("ประเทศ") == ["T.md"] and found("ปลา") == ["U.md"] and found("กินปลา") == ["U.md"] and found("ปลากิน") == []
+
+
 def test_no_vectors_at_all(engine):
     engine.refresh()
     told = {r["vault"]: (r["embedded"], r["missing_project"], r["missing_reference"]) for r in engine.doctor().collect()}
