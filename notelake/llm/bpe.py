@@ -92,6 +92,8 @@ class Encoder:
                     merge = self.ids.get(self.tokens[x] + self.tokens[y], NEVER)
                     if merge < x_taken and merge <= y_taken and merge != NEVER:
                         found = False
+            if len(self.compatible) >= REMEMBERED:
+                self.compatible.clear()
             self.compatible[a, b] = found
         return found
 
