@@ -26,7 +26,9 @@ KEY = ["vault", "key"]
 class Engine:
     """Vaults of a registry, with their derived tables in a store."""
 
-    def __init__(self, spark: SparkSession, registry: str, store: str) -> None:
+    def __init__(self, spark: SparkSession, registry: str, store: str, segment: object | None = thai_words) -> None:
+        """``segment`` cuts Thai runs into words, in the index as in queries; without one they stay whole."""
+        self.segment = segment
         self.spark = ship(spark)
         self.registry = Registry(registry)
         self.store = Store(spark, store)
@@ -72,7 +74,7 @@ class Engine:
             apply = R.apply_edges if name == "edges" else R.apply_rows
             return apply(self.store.read(name, vaults), changes, make(fresh))
 
-        tables = {"notes": notes, "edges": table("edges", G.edges), "postings": table("postings", lambda n: S.postings(n, thai_words)), "lengths": table("lengths", lambda n: S.lengths(n, thai_words))}
+        tables = {"notes": notes, "edges": table("edges", G.edges), "postings": table("postings", lambda n: S.postings(n, self.segment)), "lengths": table("lengths", lambda n: S.lengths(n, self.segment))}
         tables["degrees"] = G.degrees(notes, tables["edges"])
         tables["state"] = notes.select(*KEY, "mtime_ns", "hash")
         self.store.publish(tables, vaults, keep=list(self.registry.list()), index_version=R.INDEX_VERSION)
@@ -122,10 +124,10 @@ class Engine:
         pick = lambda t: self._of(t, vaults)
         vectors = self.store.read("vectors", vaults)
         q = None if query_vector is None or vectors is None else self.spark.createDataFrame([(query_vector,)], "q array<double>")
-        hits = S.search(notes, pick("degrees"), text, limit, vectors, q, (pick("postings"), pick("lengths")), thai_words)
+        hits = S.search(notes, pick("degrees"), text, limit, vectors, q, (pick("postings"), pick("lengths")), self.segment)
         if total:
             hits = S.total(hits, S.clamp(limit))
-        shown = S.with_snippets(hits, notes, text, chars, thai_words)
+        shown = S.with_snippets(hits, notes, text, chars, self.segment)
         named = G.attribution(shown, self.sources()).select(*KEY, "source", "license")
         return shown.join(named, KEY, "left").orderBy(F.desc("score"), "vault", "rank") if total else shown.join(named, KEY, "left").orderBy("vault", "rank")
 

@@ -75,9 +75,9 @@ def _vaults(spark: SparkSession, folder: str) -> dict[str, str]:
 
 
 def _engine(spark: SparkSession, folder: str) -> Engine:
-    """The engine over the written vaults, refreshed once."""
+    """The engine over the written vaults, refreshed once; Thai runs stay whole, as SQL has no dictionary."""
     roots, top = _vaults(spark, folder), _place(spark, folder)
-    engine = Engine(spark, f"{top}/registry.json", f"file:{top}/store")
+    engine = Engine(spark, f"{top}/registry.json", f"file:{top}/store", segment=None)
     if not engine.registry.list():
         for name, root in roots.items():
             os.makedirs(root, exist_ok=True)

@@ -6,11 +6,13 @@ import os
 import tempfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows a side may have at most to be broadcast; beyond it the join is left to a shuffle.
+#: Rows and bytes a side may have at most to be broadcast; beyond either the join is left to a shuffle.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 
 
 def build_session(app: str = "notelake", master: str | None = None, **conf: str) -> SparkSession:
@@ -23,6 +25,8 @@ def build_session(app: str = "notelake", master: str | None = None, **conf: str)
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
         "spark.ui.showConsoleProgress": "false",
+        # what a query has cut off goes when nothing refers to it any more
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     builder = SparkSession.builder.appName(app)
     if master:
@@ -68,6 +72,21 @@ def at_most(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def broadcast_bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast when it is proven to have at most ``rows`` rows, else unmarked."""
-    return F.broadcast(df) if at_most(df, rows) else df
+def _row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row takes: texts and the like by their length, anything else by eight."""
+    out = F.lit(0)
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            out = out + F.coalesce(F.octet_length(c), F.lit(0))
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            out = out + F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0))
+        else:
+            out = out + 8
+    return out
+
+
+def broadcast_bounded(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` marked for broadcast when it is proven to have at most ``rows`` rows and ``size`` bytes, else unmarked."""
+    seen = df.limit(rows + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(_row_bytes(df)), F.lit(0)).alias("b")).collect()[0]
+    return F.broadcast(df) if seen["n"] <= rows and seen["b"] <= size else df
