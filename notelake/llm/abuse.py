@@ -42,6 +42,8 @@ from notelake.sources.tables import table
 SAMPLE = 24_000
 #: Characters of a sentence at most, and those that two parts of a longer one share.
 LONGEST, SHARED = 600, 100
+#: Characters of a scrap at most.
+SCRAP = 24
 #: Score from which a document counts as abusive.
 THRESHOLD = 0.5
 #: Misspelt forms that the classifier learns of each sentence with votes.
@@ -63,14 +65,14 @@ LEET = str.maketrans("013457@$", "oieastas")
 
 _SPACED = re.compile(r"(?<![a-z*])(?:[a-z][ .\-_]){3,}(?:[a-z](?![a-z])\.?)?")
 _STRETCHED = re.compile(r"([a-z])\1\1+")
-_LEET = re.compile(r"\b[a-z]+[013457@$][a-z013457@$]*|[@$013457]+[a-z][a-z013457@$]+")
+_LEET = re.compile(r"(?<=[a-z])[013457@$]+|[013457@$]+(?=[a-z])")
 _MASKED = re.compile(r"(?<![\w*])[a-z]\*{2,}[a-z]{0,3}(?![\w*])|(?<![\w*])[a-z]{1,2}[*#]+[a-z]{1,3}(?![\w*])")
 _BREAKS = re.compile("[.!?…][\\s\"'”’»)]+|[\r\n|]+")
 _THAI = re.compile("[฀-๿]")
 _THAI_BREAKS = re.compile("(?<=[฀-๿])\\s+|\\s+(?=[฀-๿])")
 # what must be there before the slower replacements are worth a try
 _FOREIGN = re.compile("[Ͱ-ԯ]")
-_MAY_BE_LEET = re.compile("[013457@$][a-z]")
+_MAY_BE_SPACED = re.compile(r"[ .\-_][a-z][ .\-_][a-z](?![a-z])")
 # marks on Latin letters, and invisible characters
 _MARKS = re.compile("[̀-ͯ­͏؜ᅟᅠ឴឵᠋-᠎​-‏‪-‮⁠-⁯︀-️﻿]+")
 _GAPS = re.compile(r"[ .\-_]")
@@ -88,14 +90,14 @@ def fold(text: str) -> str:
         s = s.replace("’", "'").replace("\xdf", "ss")
     else:
         s = s.lower()
-    if "$" in s or "@" in s or _MAY_BE_LEET.search(s):
-        s = _LEET.sub(lambda m: m[0].translate(LEET), s)
-    s = _SPACED.sub(lambda m: _GAPS.sub("", m[0]) + (" " if m[0][-1] in " ._-" else ""), s)
+    s = _LEET.sub(lambda m: m[0].translate(LEET), s)
+    if _MAY_BE_SPACED.search(s):
+        s = _SPACED.sub(lambda m: _GAPS.sub("", m[0]) + (" " if m[0][-1] in " ._-" else ""), s)
     return _STRETCHED.sub(r"\1", s)
 
 
 def sentences(folded: str) -> list[str]:
-    """The sentences; what has fewer than four letters goes with the next one (the last with the one before). One of over
+    """The sentences; a scrap of fewer than four letters goes with the next one (the last with the one before). One of over
     ``LONGEST`` characters is read in parts of that length, of which neighbours share ``SHARED``."""
     parts = _BREAKS.split(folded)
     if _THAI.search(folded):
@@ -105,7 +107,7 @@ def sentences(folded: str) -> list[str]:
     for p in parts:
         if held:
             p, held = f"{held} {p}", ""
-        if _FOUR.search(p):
+        if len(p) > SCRAP or _FOUR.search(p):
             out.append(p)
         else:
             held = p.strip()
@@ -356,7 +358,7 @@ def _vote_weights(post: dict[int, float], rounds: int = 2_000, rate: float = 0.5
     return u
 
 
-def train(rows: list[tuple[str, int, float, float]], u: np.ndarray, rounds: int = 120, rate: float = 0.6, decay: float = 2e-4) -> np.ndarray:
+def train(rows: list[tuple[str, int, float, float]], u: np.ndarray, rounds: int = 80, rate: float = 0.6, decay: float = 2e-4) -> np.ndarray:
     """Weights of a logistic classifier for ``(sentence, votes, label, weight)``, from the votes' weights ``u`` on; AdaGrad on the
     whole sample.
 
