@@ -26,6 +26,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import ahocorasick
 import numpy as np
@@ -237,6 +238,12 @@ class Voters:
         return sum(1 << k for k, v in enumerate((*votes, *about)) if v)
 
 
+@cache
+def voters_here() -> Voters:
+    """The voters of this worker, built once."""
+    return Voters()
+
+
 # The kinds of abuse, each with the voters that speak for it; the others are heard in all.
 KINDS = {"insult": (0, 1, 2, 3, 4, 5, 6, 7, 8), "hatred": (6, 9, 10, 11, 12, 13, 14), "threat": (13, 15, 16), "sexual": (17, 18, 19)}
 AROUND = tuple(range(Voters.SPOKEN, len(Voters.NAMES)))
@@ -339,9 +346,9 @@ def fired(votes: list[int]) -> np.ndarray:
 
 def logits(texts: list[str], votes: list[int], w: np.ndarray) -> np.ndarray:
     """The classifier's value for each sentence; the last weights are those of the votes."""
+    # no sentence is empty, so each has runs of its own
     slots, at = grams(texts)
-    total = np.concatenate([[0.0], np.cumsum(w[slots], dtype=np.float64)])
-    return (total[at[1:]] - total[at[:-1]]) / np.sqrt(at[1:] - at[:-1] + SHORT) + fired(votes) @ w[SLOTS:] + BIAS
+    return np.add.reduceat(w[slots], at[:-1], dtype=np.float64) / np.sqrt(np.diff(at) + SHORT) + fired(votes) @ w[SLOTS:] + BIAS
 
 
 def _vote_weights(post: dict[int, float], rounds: int = 2_000, rate: float = 0.5) -> np.ndarray:
@@ -430,7 +437,7 @@ def _votes(sample: int, docs: int):
     below = [int(most * min(1.0, k * sample / max(1, docs))) for k in (10, 2, 0.5)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voters = Voters()
+        voters = voters_here()
         counts: Counter[int] = Counter()
         kept: tuple[dict, ...] = ({}, {}, {})
         limit = [1 << 63] * 3
@@ -479,7 +486,7 @@ def scores(docs: DataFrame, keep: list[str], w: np.ndarray, text_col: str = "tex
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema[: len(keep)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, voters = shared.value, Voters()
+        w, voters = shared.value, voters_here()
         for batch in batches:
             out = np.zeros(batch.num_rows)
             held: list[str] = []
